@@ -674,6 +674,6 @@ def label_check(spark, d):
 
 
 @query("truncated", """
-SELECT source, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) >= 200""")
+SELECT lang, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) >= 200""")
 def truncated(spark, d):
-    return Q.truncated_sources(table(spark, d, "documents"), "source", 200)
+    return Q.truncated_sources(table(spark, d, "documents"), "lang", 200)

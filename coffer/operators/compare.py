@@ -269,7 +269,7 @@ def deflate(df, deflators, columns, year="fiscal_year"):
     joined = df.join(deflators.select(year, "deflator"), year, "left").withColumn(
         "deflator", F.coalesce(F.col("deflator"), F.lit(1)).cast("decimal(10,4)"))
     return joined.withColumns(
-        {f"{c}_real": (F.col(c) * F.col("deflator")).cast("decimal(28,4)") for c in columns})
+        {f"{c}_real": (F.col(c) * F.col("deflator")).cast("decimal(38,6)") for c in columns})
 
 
 def resolve_authority(df, scope="scope", year="fiscal_year"):
