@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fund_from_text, fund_name
 from ..schema import CAPITAL, CATEGORY_NAMES, DEPARTMENT_NAMES, MONEY, OPERATING, POSITIONS, lookup
-from .ordered import carry_forward, first_per_key, running_total, with_neighbours
+from ..session import cut_lineage
+from .ordered import carry_forward, first_per_key, running_total, settle, with_neighbours
 
 # Line patterns of the bill format. (?i) marks case-insensitive.
 PATTERNS = {
@@ -264,7 +265,7 @@ def read_pairs(classified):
             F.lit(section).cast("string").alias("section"), F.lit(note).alias("note"))
         test = F.col("kind") == kind
         pair = F.when(test, value) if pair is None else pair.when(test, value)
-    rows = classified.where(F.col("kind").isin(PAIR_KINDS)).withColumn("pair", pair)
+    rows = settle(classified.where(F.col("kind").isin(PAIR_KINDS)), {"pair": pair})
     section = F.coalesce(
         F.col("pair.section"),
         F.when(F.col("in_capital"), F.lit(CAPITAL)).otherwise(F.lit(OPERATING)))
@@ -276,12 +277,13 @@ def read_pairs(classified):
     keep = F.col("kind") == "operating_pdf"
     code = F.when(short & ~keep, F.coalesce("context_department", printed)).otherwise(printed)
     code = F.when(F.col("kind") == "total_funding", F.upper(code)).otherwise(code)
-    return rows.select(
-        "doc_id", "line_no", "kind", "program_id", "program_name", "category",
-        code.alias("department_code"), section.alias("section"),
-        _digits(F.col("pair.amount1")).alias("amount1"), fund1.alias("fund1"),
-        _digits(F.col("pair.amount2")).alias("amount2"), fund2.alias("fund2"),
-        F.col("pair.note").alias("notes"))
+    values = settle(rows, {
+        "department_code": code, "section": section,
+        "amount1": _digits(F.col("pair.amount1")), "fund1": fund1,
+        "amount2": _digits(F.col("pair.amount2")), "fund2": fund2, "notes": F.col("pair.note")})
+    return values.select(
+        "doc_id", "line_no", "kind", "program_id", "program_name", "category", "department_code",
+        "section", "amount1", "fund1", "amount2", "fund2", "notes")
 
 
 def carry_positions(classified):
@@ -346,8 +348,8 @@ def explode_years(pairs, fy1, fy2):
     drop = {"amount1", "amount2", "fund1", "fund2", "perm1", "perm2", "temp1", "temp2"}
     kept = [c for c in pairs.columns if c not in drop]
     rows = pairs.select(*kept, F.inline(F.array(year(1, fy1), year(2, fy2))))
-    return rows.where(F.col("amount") > 0).withColumn(
-        "fund_type", fund_from_text(F.col("letter"))).drop("letter")
+    return settle(rows.where(F.col("amount") > 0), {
+        "fund_type": fund_from_text(F.col("letter"))}).drop("letter")
 
 
 def build_allocations(rows):
@@ -414,21 +416,22 @@ def read_amendments(classified, originals, fy1, fy2):
     two = F.col("kind") == "bare_amendment_two_col"
     section = F.when(F.col("in_capital"), F.lit(CAPITAL)).otherwise(F.lit(OPERATING))
     single, double = "bare_amendment", "bare_amendment_two_col"
-    rows = placed.select(
-        "doc_id", "program_id", "line_no", "program_name", "category", section.alias("section"),
-        F.coalesce("preceding", "context_department", F.lit("")).alias("department_code"),
-        F.when(two, _digits(_group(double, 1, "raw"))).alias("amount1"),
-        F.when(two, _digits(_group(double, 3, "raw"))).otherwise(
-            _digits(_group(single, 1, "raw"))).alias("amount2"),
-        F.when(two, _group(double, 2, "raw")).otherwise(_group(single, 2, "raw")).alias("letter"),
-        (~two | F.col("in_capital")).alias("creates"), "perm1", "perm2", "temp1", "temp2")
+    letter = F.when(two, _group(double, 2, "raw")).otherwise(_group(single, 2, "raw"))
+    rows = settle(placed, {
+        "section": section,
+        "department_code": F.coalesce("preceding", "context_department", F.lit("")),
+        "amount1": F.when(two, _digits(_group(double, 1, "raw"))),
+        "amount2": F.when(two, _digits(_group(double, 3, "raw"))).otherwise(
+            _digits(_group(single, 1, "raw"))),
+        "fund_type": fund_from_text(letter),
+        "creates": ~two | F.col("in_capital")})
     out = []
     for n, fy in ((1, fy1), (2, fy2)):
         total, temporary = _positions(F.col(f"perm{n}"), F.col(f"temp{n}"))
         out.append(rows.where(F.col(f"amount{n}").isNotNull()).select(
             "doc_id", "program_id", "line_no", "program_name", "category", "section",
             "department_code", F.lit(fy).cast("int").alias("fiscal_year"),
-            F.col(f"amount{n}").alias("amount"), fund_from_text(F.col("letter")).alias("fund_type"),
+            F.col(f"amount{n}").alias("amount"), "fund_type",
             total.alias("positions"), temporary.alias("positions_temp"), "creates",
             F.concat(F.when(F.col("section") == CAPITAL, F.lit("Investment Capital")).otherwise(
                 F.lit("Operating")), F.lit(" - amendment from zero")).alias("notes")))
@@ -437,7 +440,7 @@ def read_amendments(classified, originals, fy1, fy2):
 
 def extract_allocations(lines, fy1, fy2):
     """Allocation rows of bill lines: classify, pair, position, amend, name."""
-    classified = carry_positions(classify_lines(lines))
+    classified = cut_lineage(carry_positions(classify_lines(lines)))
     pending = classified.where(F.col("kind").isin(PAIR_KINDS)).select(
         "doc_id", "line_no", "perm1", "perm2", "temp1", "temp2")
     pairs = read_pairs(classified).join(pending, ["doc_id", "line_no"])

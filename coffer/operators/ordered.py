@@ -27,6 +27,16 @@ def null_safe_join(left, right, keys, how="left"):
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def settle(df, columns):
+    """Add computed columns that later filters read instead of recomputing.
+
+    The values pass through a one-row generator, which the optimizer does not
+    push conditions through; a long CASE is then evaluated once per row.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _chunked(df, order, chunk_rows):
     return df.withColumn("__chunk", F.floor(F.col(order) / F.lit(chunk_rows)).cast("long"))
 

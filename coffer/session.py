@@ -29,9 +29,10 @@ def build_session(app="coffer", master=None, shuffle_partitions=None, progress=T
 
 
 def cut_lineage(df):
-    """Checkpoint to the shared folder of the session.
+    """Write the rows to the session's shared checkpoint folder and read on from there.
 
-    A folder of our own is set only where the session names none, which is the
+    Used where one intermediate result feeds several branches, and between the
+    rounds of an iteration. A folder of our own is set only where the session names none, which is the
     case in single-machine tests.
     """
     spark = df.sparkSession
@@ -42,4 +43,4 @@ def cut_lineage(df):
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=False)
+    return df.checkpoint(eager=True)
