@@ -78,7 +78,11 @@ fin AS (
 
 
 def _program_lines(spark, d):
-    return cut_lineage(B.program_lines(B.cells(spark, d)))
+    return cut_lineage(B.program_lines(cut_lineage(B.cells(spark, d))))
+
+
+def _bill_lines(spark, d):
+    return cut_lineage(B.bill_lines(spark, d))
 
 
 def _years():
@@ -157,7 +161,7 @@ SELECT fin.doc_id, pid AS program_id, 'PROGRAM ' || pid AS program_name, code AS
     AS positions_temp
 FROM fin JOIN prog p USING (doc_id, pid, code) LEFT JOIN used USING (doc_id, pid)""")
 def bill_allocations(spark, d):
-    rows = L.extract_allocations(B.bill_lines(spark, d), *_years())
+    rows = L.extract_allocations(_bill_lines(spark, d), *_years())
     return rows.select("doc_id", "program_id", "program_name", "department_code", "section",
                        "fund_type", "fiscal_year", "line_number", "amount", "positions",
                        "positions_temp")
@@ -184,7 +188,7 @@ al AS (SELECT doc_id, n FROM pr UNION ALL SELECT doc_id, 1 FROM prog
   UNION ALL SELECT DISTINCT doc_id, 1 FROM prog)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS lines_in_list FROM al GROUP BY 1""")
 def span(spark, d):
-    rows = L.mark_project_span(L.prepare_lines(B.bill_lines(spark, d)))
+    rows = L.mark_project_span(L.prepare_lines(_bill_lines(spark, d)))
     return rows.where("in_list").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines_in_list"))
 
 
@@ -192,7 +196,7 @@ _PROJECTS = _CELLS + """
 , pj AS (SELECT *, floor(cap1 / 1000) AS t1, floor(cap2 / 1000) AS t2,
    CASE WHEN s % 5 = 0 THEN floor(extra2 / 1000) ELSE 0 END AS x FROM cell
   WHERE cap1 >= 1000 OR cap2 >= 1000),
-py AS (SELECT *, fy1 AS fiscal_year, t1 * 1000 AS amount, 6 AS at FROM pj WHERE t1 > 0
+py AS (SELECT *, fy1 AS fiscal_year, t1 * 1000 AS amount, 6 AS spot FROM pj WHERE t1 > 0
   UNION ALL SELECT *, fy1 + 1, CASE WHEN x > 0 THEN x ELSE t2 END * 1000,
     CASE WHEN t2 > 0 THEN 6 ELSE 7 END FROM pj WHERE t2 > 0 OR x > 0)
 """
@@ -202,9 +206,9 @@ py AS (SELECT *, fy1 AS fiscal_year, t1 * 1000 AS amount, 6 AS at FROM pj WHERE
 SELECT doc_id, CAST(f + 1 AS VARCHAR) AS project_id, 'WORKS ' || pid || ' ' || fund AS project_name,
   'PLANS AND DESIGN FOR ' || pid AS scope, pid AS program_id, code AS department_code, fiscal_year,
   fund AS fund_type, CAST(amount AS DOUBLE) AS amount,
-  1000000 + base + f * 10 + at AS line_number FROM py""")
+  1000000 + base + f * 10 + spot AS line_number FROM py""")
 def projects(spark, d):
-    return P.extract_projects(B.bill_lines(spark, d), *_years()).select(
+    return P.extract_projects(_bill_lines(spark, d), *_years()).select(
         "doc_id", "project_id", "project_name", "scope", "program_id", "department_code",
         "fiscal_year", "fund_type", "amount", "line_number")
 
@@ -213,7 +217,7 @@ def projects(spark, d):
 SELECT doc_id, 1000000 + base + f * 10 + 1 AS block FROM cell
 WHERE s % 7 = 0 AND (cap1 >= 1000 OR cap2 >= 1000)""")
 def reissue(spark, d):
-    context = cut_lineage(P.project_context(B.bill_lines(spark, d)))
+    context = cut_lineage(P.project_context(_bill_lines(spark, d)))
     return P.reissued_blocks(context)
 
 
@@ -235,7 +239,7 @@ SELECT py.doc_id, py.pid AS program_id, py.fund AS fund_type, py.fiscal_year,
   CAST(amount - target AS DOUBLE) AS excess
 FROM py JOIN tg USING (doc_id, pid, fund, fiscal_year) WHERE amount - target > 0.5""")
 def excess(spark, d):
-    lines = cut_lineage(B.bill_lines(spark, d))
+    lines = _bill_lines(spark, d)
     found = cut_lineage(L.extract_allocations(lines, *_years()))
     listed = P.extract_projects(lines, *_years())
     return P.unresolved_excess(listed, found)
@@ -264,7 +268,7 @@ SELECT doc_id, 2000000 + k * 1000 AS block_line, 2000000 + k * 1000 + s * 10 AS
   fy1 + 1 AS fiscal_year, CAST(v AS DOUBLE) AS amount, 'Ch.42F grant: RECIPIENT ' || pid AS notes
 FROM g WHERE v > 0""")
 def grants(spark, d):
-    return G.extract_grants(B.bill_lines(spark, d)).select(
+    return G.extract_grants(_bill_lines(spark, d)).select(
         "doc_id", "block_line", "line_number", "program_id", "department_code", "fiscal_year",
         "amount", "notes")
 
@@ -276,7 +280,7 @@ SELECT doc_id, 2000000 + k * 1000 AS block_line, fy1 + 1 AS fiscal_year,
   count(*) AS item_count, true AS reconciles
 FROM g WHERE v > 0 GROUP BY doc_id, fy1, k""")
 def grant_audit(spark, d):
-    lines = B.bill_lines(spark, d)
+    lines = _bill_lines(spark, d)
     return G.audit_grants(lines, G.extract_grants(lines))
 
 

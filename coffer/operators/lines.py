@@ -277,7 +277,7 @@ def read_pairs(classified):
     keep = F.col("kind") == "operating_pdf"
     code = F.when(short & ~keep, F.coalesce("context_department", printed)).otherwise(printed)
     code = F.when(F.col("kind") == "total_funding", F.upper(code)).otherwise(code)
-    values = settle(rows, {
+    values = settle(rows.withColumn("program_id", F.coalesce("program_id", F.lit("Unknown"))), {
         "department_code": code, "section": section,
         "amount1": _digits(F.col("pair.amount1")), "fund1": fund1,
         "amount2": _digits(F.col("pair.amount2")), "fund2": fund2, "notes": F.col("pair.note")})
@@ -444,8 +444,9 @@ def extract_allocations(lines, fy1, fy2):
     pending = classified.where(F.col("kind").isin(PAIR_KINDS)).select(
         "doc_id", "line_no", "perm1", "perm2", "temp1", "temp2")
     pairs = read_pairs(classified).join(pending, ["doc_id", "line_no"])
-    originals = explode_years(pairs, fy1, fy2).drop("kind")
-    amended = apply_amendments(originals, read_amendments(classified, originals, fy1, fy2))
+    originals = cut_lineage(explode_years(pairs, fy1, fy2).drop("kind"))
+    amendments = cut_lineage(read_amendments(classified, originals, fy1, fy2))
+    amended = apply_amendments(originals, amendments)
     return build_allocations(amended).withColumnRenamed("line_no", "line_number")
 
 

@@ -45,7 +45,9 @@ def carry_forward(df, keys, order, events, inclusive=True, chunk_rows=CHUNK_ROWS
     """Latest non-NULL value of each event at (or before) every row.
 
     ``events`` maps an output column to a Column that is NULL where nothing
-    happens. A reset is an event too: a struct whose field is NULL.
+    happens. A reset is an event too: a struct whose field is NULL. Keys must
+    not be NULL; with plain equality the join, the window and any further
+    carry over the same keys share one shuffle of the rows.
     """
     base = _chunked(df, order, chunk_rows)
     for name, event in events.items():
@@ -65,7 +67,7 @@ def carry_forward(df, keys, order, events, inclusive=True, chunk_rows=CHUNK_ROWS
         *parts,
         *[F.last(f"__in_{n}", ignorenulls=True).over(before).alias(f"__in_{n}") for n in events],
     )
-    joined = null_safe_join(base, starts, parts)
+    joined = base.join(starts, parts, "left")
     inside = W.partitionBy(*parts).orderBy(order).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
@@ -80,7 +82,10 @@ def carry_forward(df, keys, order, events, inclusive=True, chunk_rows=CHUNK_ROWS
 
 
 def running_total(df, keys, order, values, chunk_rows=CHUNK_ROWS):
-    """Inclusive running sums; ``values`` maps an output column to a Column."""
+    """Inclusive running sums; ``values`` maps an output column to a Column.
+
+    Keys must not be NULL (see :func:`carry_forward`).
+    """
     base = _chunked(df, order, chunk_rows)
     for name, value in values.items():
         base = base.withColumn(f"__v_{name}", value)
@@ -90,7 +95,7 @@ def running_total(df, keys, order, values, chunk_rows=CHUNK_ROWS):
     starts = sums.select(
         *parts, *[F.sum(f"__s_{n}").over(before).alias(f"__o_{n}") for n in values]
     )
-    joined = null_safe_join(base, starts, parts)
+    joined = base.join(starts, parts, "left")
     inside = W.partitionBy(*parts).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return joined.select(
         *df.columns,

@@ -203,7 +203,7 @@ def grant_lines(cell):
 
 def bill_lines(spark, sf_dir):
     """All lines of all bills."""
-    cell = cells(spark, sf_dir)
+    cell = cut_lineage(cells(spark, sf_dir))
     return program_lines(cell).unionByName(project_lines(cell)).unionByName(grant_lines(cell))
 
 
