@@ -8,6 +8,7 @@ from ..operators.shares import add_metrics
 from ..operators.views import previous_by_year, standard_view
 from ..plans.testdata import allocations
 from ..schema import FUND_GROUPS_CHART, FUND_GROUPS_REPORT
+from ..sinks.writers import nest, refresh_field
 from .base import query, with_alloc
 
 NOT_GRANT = "section <> 'Grants in Aid'"
@@ -593,3 +594,32 @@ def year_before(spark, d):
     sums = allocations(spark, d, "department_code", "fiscal_year", "amount").groupBy(
         "department_code", "fiscal_year").agg(F.sum("amount").alias("amount"))
     return previous_by_year(sums, ["department_code"], "fiscal_year", "amount", "before")
+
+
+@query("dept_tree", with_alloc("""
+, c AS (SELECT department_code, program_id, sum(amount) AS amount FROM alloc GROUP BY ALL)
+SELECT department_code, string_agg(program_id || '=' || CAST(amount AS VARCHAR), ','
+  ORDER BY amount DESC, program_id) AS programs FROM c GROUP BY 1"""))
+def dept_tree(spark, d):
+    sums = allocations(spark, d, "department_code", "program_id", "amount").groupBy(
+        "department_code", "program_id").agg(F.sum("amount").alias("amount"))
+    ranked = sums.withColumn("down", -F.col("amount"))
+    nested = nest(ranked, ["department_code"], ["program_id", "amount"], "rows",
+                  ["down", "program_id"])
+    return nested.select("department_code", F.array_join(F.transform(
+        "rows", lambda r: F.concat(r["program_id"], F.lit("="), r["amount"].cast("string"))),
+        ",").alias("programs"))
+
+
+@query("refresh_field", with_alloc("""
+, s AS (SELECT program_id, CAST(max(positions) AS DOUBLE) AS session_delta FROM alloc
+  WHERE section = 'Grants in Aid' GROUP BY 1),
+c AS (SELECT program_id, count(*) AS n FROM alloc GROUP BY 1)
+SELECT program_id, n, session_delta FROM c LEFT JOIN s USING (program_id)"""))
+def refresh_field_query(spark, d):
+    rows = allocations(spark, d, "program_id", "section", "positions")
+    base = rows.groupBy("program_id").agg(F.count(F.lit(1)).alias("n"),
+                                          F.max("positions").alias("session_delta"))
+    source = rows.where(F.col("section") == "Grants in Aid").withColumnRenamed(
+        "positions", "session_delta")
+    return refresh_field(base, source, ["program_id"], "session_delta")
