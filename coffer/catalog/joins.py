@@ -60,27 +60,20 @@ def compare_null_keys(spark, d):
 
 
 @query("compare_raw", with_alloc("""
-, b AS (SELECT program_id, fiscal_year, amount FROM alloc WHERE draft = 'F' AND part_key % 7 = 0
-   AND department_code = 'NATION_3'),
-a AS (SELECT program_id, fiscal_year, amount FROM alloc WHERE draft = 'O' AND part_key % 7 = 0
-   AND department_code = 'NATION_3')
+, b AS (SELECT program_id, fiscal_year, supplier_key, part_key, amount FROM alloc WHERE draft = 'F'),
+a AS (SELECT program_id, fiscal_year, supplier_key, part_key, amount FROM alloc WHERE draft = 'O')
 SELECT coalesce(b.program_id, a.program_id) AS program_id,
-  coalesce(b.fiscal_year, a.fiscal_year) AS fiscal_year, CAST(b.amount AS DOUBLE) AS before,
-  CAST(a.amount AS DOUBLE) AS after,
+  coalesce(b.fiscal_year, a.fiscal_year) AS fiscal_year,
+  coalesce(b.supplier_key, a.supplier_key) AS supplier_key,
+  coalesce(b.part_key, a.part_key) AS part_key,
+  CAST(b.amount AS DOUBLE) AS before, CAST(a.amount AS DOUBLE) AS after,
   CAST(coalesce(a.amount, 0) - coalesce(b.amount, 0) AS DOUBLE) AS change,
   (CAST(a.amount AS DOUBLE) - CAST(b.amount AS DOUBLE)) / CAST(b.amount AS DOUBLE) * 100
     AS pct_change,
   CASE WHEN b.amount IS NULL THEN 'added' WHEN a.amount IS NULL THEN 'removed' ELSE 'modified' END
     AS change_type
-FROM b FULL OUTER JOIN a ON b.program_id = a.program_id AND b.fiscal_year = a.fiscal_year"""
-    .replace(" AND part_key % 7 = 0\n   AND department_code = 'NATION_3'", "")
-    .replace("amount FROM alloc", "supplier_key, part_key, amount FROM alloc")
-    .replace("b.fiscal_year = a.fiscal_year",
-             "b.fiscal_year = a.fiscal_year AND b.supplier_key = a.supplier_key"
-             " AND b.part_key = a.part_key")
-    .replace("CAST(b.amount AS DOUBLE) AS before",
-             "coalesce(b.supplier_key, a.supplier_key) AS supplier_key,"
-             " coalesce(b.part_key, a.part_key) AS part_key, CAST(b.amount AS DOUBLE) AS before")))
+FROM b FULL OUTER JOIN a ON b.program_id = a.program_id AND b.fiscal_year = a.fiscal_year
+  AND b.supplier_key = a.supplier_key AND b.part_key = a.part_key"""))
 def compare_raw(spark, d):
     keys = ["program_id", "fiscal_year", "supplier_key", "part_key"]
     before, after = _drafts(spark, d, *keys)
@@ -120,7 +113,7 @@ def _changes(spark, d):
         ).alias("fund_type"),
         F.floor("p_retailprice").cast("decimal(18,2)").alias("amount"),
         F.concat(F.lit("change "), F.col("p_partkey").cast("string")).alias("notes"),
-        "p_partkey").where(F.col("p_size") <= 20)
+        "p_partkey")
 
 
 _CHANGES = """
@@ -128,7 +121,7 @@ _CHANGES = """
    1995 + p_partkey % 8 AS fiscal_year,
    CASE p_partkey % 3 WHEN 1 THEN 'B' WHEN 2 THEN 'N' ELSE 'A' END AS fund_type,
    floor(p_retailprice) AS new_amount, 'change ' || p_partkey AS new_notes, p_partkey
-  FROM part WHERE p_size <= 20)
+  FROM part)
 """
 
 

@@ -145,8 +145,7 @@ def money_var(spark, d):
         "decorated": F.concat(a, F.lit(" -..")),
         "marked": F.concat(a, F.lit("**")),
     }
-    rows = table(spark, d, "orders").where(F.col("o_totalprice") >= 0)
-    return rows.select("o_orderkey", *[X.parse_money(c, k).alias(k) for k, c in styles.items()])
+    return table(spark, d, "orders").select("o_orderkey", *[X.parse_money(c, k).alias(k) for k, c in styles.items()])
 
 
 @query("ocr_code", """
@@ -163,23 +162,28 @@ def ocr_code(spark, d):
 @query("currency", with_alloc("""
 , s AS (SELECT department_code, fiscal_year, sum(amount) AS a FROM alloc GROUP BY ALL)
 SELECT department_code, fiscal_year,
-  CASE WHEN a >= 1000000 THEN printf('$%.1fM', CAST(round_even(CAST(a AS DOUBLE) / 1e6, 1) AS DOUBLE))
+  CASE WHEN a >= 1000000000 THEN printf('$%.2fB', CAST(a AS DOUBLE) / 1e9)
+       WHEN a >= 1000000 THEN printf('$%.1fM', CAST(round_even(CAST(a AS DOUBLE) / 1e6, 1) AS DOUBLE))
        ELSE format('${:,}', CAST(round_even(CAST(a AS DOUBLE), 0) AS BIGINT)) END AS analysis,
-  CASE WHEN a >= 100000000 THEN printf('$%.0fM', CAST(a AS DOUBLE) / 1e6)
+  CASE WHEN a >= 1000000000 THEN printf('$%.1fB', CAST(a AS DOUBLE) / 1e9)
+       WHEN a >= 100000000 THEN printf('$%.0fM', CAST(a AS DOUBLE) / 1e6)
        WHEN a >= 10000000 THEN printf('$%.1fM', CAST(a AS DOUBLE) / 1e6)
        ELSE printf('$%.2fM', CAST(a AS DOUBLE) / 1e6) END AS chart,
-  CASE WHEN a >= 10000000 THEN printf('$%.0fM', CAST(a AS DOUBLE) / 1e6)
+  CASE WHEN a >= 1000000000 THEN printf('$%.1fB', CAST(a AS DOUBLE) / 1e9)
+       WHEN a >= 10000000 THEN printf('$%.0fM', CAST(a AS DOUBLE) / 1e6)
        WHEN a >= 1000000 THEN printf('$%.1fM', CAST(a AS DOUBLE) / 1e6)
        WHEN a >= 1000 THEN printf('$%.0fK', CAST(a AS DOUBLE) / 1e3)
        ELSE printf('$%.0f', CAST(a AS DOUBLE)) END AS brief,
-  CASE WHEN a >= 1000000 THEN '$' || rtrim(rtrim(printf('%.2f', CAST(a AS DOUBLE) / 1e6), '0'), '.')
+  CASE WHEN a >= 1000000000 THEN '$' || rtrim(rtrim(printf('%.2f', CAST(a AS DOUBLE) / 1e9), '0'),
+         '.') || ' billion'
+       WHEN a >= 1000000 THEN '$' || rtrim(rtrim(printf('%.2f', CAST(a AS DOUBLE) / 1e6), '0'), '.')
          || ' million'
        ELSE format('${:,}', CAST(round_even(CAST(a AS DOUBLE), 0) AS BIGINT)) END AS words
-FROM s WHERE a < 1000000000"""))
+FROM s"""))
 def currency(spark, d):
     sums = allocations(spark, d, "department_code", "fiscal_year", "amount").groupBy(
         "department_code", "fiscal_year").agg(F.sum("amount").alias("a"))
-    return sums.where(F.col("a") < 10**9).select(
+    return sums.select(
         "department_code", "fiscal_year",
         *[X.currency_label(F.col("a"), s).alias(s) for s in ("analysis", "chart", "brief", "words")])
 

