@@ -143,10 +143,9 @@ SELECT doc_id, pid AS program_id, fund AS fund_type, section, code AS department
   fiscal_year, line_no, CAST(amount AS DOUBLE) AS amount FROM fin""")
 def amend(spark, d):
     classified = cut_lineage(L.carry_positions(L.classify_lines(_program_lines(spark, d))))
-    originals = L.explode_years(L.read_pairs(classified), *_years()).drop("kind")
-    return L.apply_amendments(
-        originals, L.read_amendments(classified, originals, *_years())).select(
-        *L.RUN_KEYS, "line_no", "amount")
+    originals = cut_lineage(L.explode_years(L.read_pairs(classified), *_years()).drop("kind"))
+    amendments = cut_lineage(L.read_amendments(classified, originals, *_years()))
+    return L.apply_amendments(originals, amendments).select(*L.RUN_KEYS, "line_no", "amount")
 
 
 @query("bill_allocations", _AMENDED + """
@@ -285,23 +284,23 @@ def grant_audit(spark, d):
 
 
 @query("dims", with_alloc("""
-SELECT department_code AS code, min(department_name) AS name, false AS is_program
-FROM alloc GROUP BY 1
+SELECT department_code AS code, min(department_name) AS name, NULL AS category,
+  NULL AS is_capital FROM alloc GROUP BY 1
 UNION ALL
-SELECT program_id, arg_min(program_name, (line_number, part_key, supplier_key)), true
-FROM alloc GROUP BY 1"""))
+SELECT program_id, program_name, category, is_capital FROM (
+  SELECT *, section = 'Capital Improvement' AS is_capital FROM alloc)
+QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY line_number, program_name,
+  department_code, category, is_capital) = 1"""))
 def dims(spark, d):
     rows = allocations(spark, d, "department_code", "department_name", "program_id",
-                       "program_name", "category", "section", "line_number", "part_key",
-                       "supplier_key")
-    rows = rows.withColumn("place", F.struct("line_number", "part_key", "supplier_key"))
-    departments = L.distinct_departments(rows, "place").select(
-        F.col("department_code").alias("code"), F.col("department_name").alias("name"),
-        F.lit(False).alias("is_program"))
-    programs = L.distinct_programs(rows, "place").select(
-        F.col("program_id").alias("code"), F.col("program_name").alias("name"),
-        F.lit(True).alias("is_program"))
-    return departments.unionByName(programs)
+                       "program_name", "category", "section", "line_number")
+    departments = L.distinct_departments(rows).select(
+        F.col("department_code").alias("code"), F.col("department_name").alias("name"))
+    programs = L.distinct_programs(rows).select(
+        F.col("program_id").alias("code"), F.col("program_name").alias("name"), "category",
+        "is_capital")
+    return departments.unionByName(programs, allowMissingColumns=True).select(
+        "code", "name", "category", "is_capital")
 
 
 _MONEY_TEXT = r"""

@@ -90,7 +90,7 @@ def compare_raw(spark, d):
 SELECT *, round_even(delta / nullif(fy1, 0) * 100, 2) AS pct_change FROM p"""))
 def compare_years(spark, d):
     rows = allocations(spark, d, "program_id", "department_code", "section", "fund_type",
-                       "fiscal_year", "amount")
+                       "fiscal_year", "amount", years=[1997, 1998])
     return C.compare_years(rows, 1997, 1998)
 
 
@@ -150,24 +150,20 @@ def unmatched_changes(spark, d):
         "program_id", "fiscal_year", "fund_type", "p_partkey")
 
 
-DRAFT_COLUMNS = [*C.DRAFT_KEYS, "program_name", "department_name", "positions", "line_number",
-                 "part_key", "supplier_key"]
+DRAFT_COLUMNS = [*C.DRAFT_KEYS, "program_name", "department_name", "positions", "line_number"]
 
 
 @query("draft_compare", with_alloc(_sides(C.DRAFT_KEYS, "draft = 'F'", "draft = 'O'") + f"""
-, n AS (SELECT {", ".join(C.DRAFT_KEYS)},
-   arg_min(program_name, CASE WHEN draft = 'O' THEN line_number * 10 ELSE 1e15 + line_number END)
-     AS any_name, min(department_name) AS department_name FROM alloc GROUP BY ALL),
+, n AS (SELECT {", ".join(C.DRAFT_KEYS)}, program_name, department_name FROM alloc
+  QUALIFY row_number() OVER (PARTITION BY {", ".join(C.DRAFT_KEYS)}
+    ORDER BY draft DESC, line_number, program_name) = 1),
 p AS (SELECT program_id, max(CASE WHEN draft = 'F' THEN positions END) AS pb,
    max(CASE WHEN draft = 'O' THEN positions END) AS pa FROM alloc GROUP BY 1)
-SELECT c.*, n.department_name, CAST(pb AS DOUBLE) AS positions_before,
+SELECT c.*, n.program_name, n.department_name, CAST(pb AS DOUBLE) AS positions_before,
        CAST(pa AS DOUBLE) AS positions_after
 FROM c JOIN n USING ({", ".join(C.DRAFT_KEYS)}) JOIN p USING (program_id)"""))
 def draft_compare(spark, d):
-    before, after = _drafts(spark, d, *DRAFT_COLUMNS)
-    order = F.struct("line_number", "part_key", "supplier_key")
-    return C.compare_drafts(before.withColumn("place", order), after.withColumn("place", order),
-                            order="place").drop("program_name")
+    return C.compare_drafts(*_drafts(spark, d, *DRAFT_COLUMNS))
 
 
 def _projects(spark, d):
@@ -233,7 +229,8 @@ SELECT department_code, program_id, fund_type, section, 0, 0, 0, NULL, 'removed'
   CAST(base AS DOUBLE)
 FROM r ANTI JOIN c USING (department_code, program_id, fund_type, section) WHERE base <> 0"""))
 def baseline(spark, d):
-    rows = allocations(spark, d, "draft", "fiscal_year", "amount", "positions", *BASE)
+    rows = allocations(spark, d, "draft", "fiscal_year", "amount", "positions", *BASE,
+                       years=[1997, 1999])
     now = rows.where(F.col("fiscal_year") == 1997)
     comparison = C.compare(now.where(F.col("draft") == "F"), now.where(F.col("draft") == "O"), BASE)
     request = rows.where(F.col("fiscal_year").isin(1998, 1999)).groupBy(*BASE, "fiscal_year").agg(

@@ -71,7 +71,7 @@ FROM alloc WHERE fiscal_year = 1998 AND {NOT_GRANT}
 GROUP BY department_code"""))
 def dept_rollup(spark, d):
     rows = allocations(spark, d, "department_code", "department_name", "section", "amount",
-                       "positions", "fiscal_year")
+                       "positions", "fiscal_year", years=[1998])
     return R.department_rollup(standard_view(rows, 1998))
 
 
@@ -276,7 +276,8 @@ def dept_years(spark, d):
         for f in "ABCNW")
     + ", CAST(sum(amount) AS DOUBLE) AS total FROM alloc WHERE fiscal_year = 1998 GROUP BY 1"))
 def fund_matrix(spark, d):
-    rows = allocations(spark, d, "department_name", "fund_type", "fiscal_year", "amount")
+    rows = allocations(spark, d, "department_name", "fund_type", "fiscal_year", "amount",
+                       years=[1998])
     return R.fund_matrix(rows.where(F.col("fiscal_year") == 1998), list("ABCNW"))
 
 

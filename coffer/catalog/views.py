@@ -17,8 +17,8 @@ SELECT line_number, part_key, supplier_key, section, fiscal_year, CAST(amount AS
        section = 'Capital Improvement' AS is_capital
 FROM alloc WHERE fiscal_year = 1998 AND section <> 'Grants in Aid'"""))
 def std_view(spark, d):
-    return V.standard_view(allocations(spark, d, *GRAIN, "section", "fiscal_year", "amount"), 1998,
-                           "all")
+    rows = allocations(spark, d, *GRAIN, "section", "fiscal_year", "amount", years=[1998])
+    return V.standard_view(rows, 1998, "all")
 
 
 @query("std_view_section", with_alloc("""
@@ -26,8 +26,8 @@ SELECT line_number, part_key, supplier_key, section, fiscal_year, CAST(amount AS
        CAST(amount AS DOUBLE) / 1000000 AS amount_millions, false AS is_capital
 FROM alloc WHERE fiscal_year = 1998 AND section = 'Grants in Aid'"""))
 def std_view_section(spark, d):
-    return V.standard_view(allocations(spark, d, *GRAIN, "section", "fiscal_year", "amount"), 1998,
-                           "grants in aid")
+    rows = allocations(spark, d, *GRAIN, "section", "fiscal_year", "amount", years=[1998])
+    return V.standard_view(rows, 1998, "grants in aid")
 
 
 @query("clean_cols", """
@@ -304,7 +304,8 @@ SELECT line_number, part_key, supplier_key, CAST(amount AS DOUBLE) AS amount,
   CASE WHEN fiscal_year = 1998 THEN section END AS section
 FROM alloc WHERE fiscal_year IN (1997, 1998)"""))
 def union(spark, d):
-    rows = allocations(spark, d, *GRAIN, "amount", "fiscal_year", "fund_type", "section")
+    rows = allocations(spark, d, *GRAIN, "amount", "fiscal_year", "fund_type", "section",
+                       years=[1997, 1998])
     a = rows.where(F.col("fiscal_year") == 1997).drop("fiscal_year", "section")
     b = rows.where(F.col("fiscal_year") == 1998).drop("fiscal_year", "fund_type")
     return V.union_by_name(a, b)

@@ -125,19 +125,24 @@ def unmatched_changes(df, changes):
 def compare_drafts(before, after, keys=DRAFT_KEYS, order="line_number"):
     """Two drafts on the identity keys with names and once-counted positions.
 
-    Names come from the newer draft where present, first by document order.
-    Positions repeat on fund rows: the maximum per program is attached.
+    Names come from the newer draft where present, first by document order
+    (a number; ties by name). Positions repeat on fund rows: the maximum per
+    program is attached. Sums and first places per name are numeric and
+    hash-aggregate; only the distinct names go on to the second grouping.
     """
-    def name(side, column):
-        return F.min_by(column, F.when((F.col("__s") == side) & F.col(column).isNotNull(),
-                                       F.col(order)))
-
     stacked = before.withColumn("__s", F.lit(0)).unionByName(after.withColumn("__s", F.lit(1)))
+    named = stacked.groupBy(*keys, "__s", "program_name", "department_name").agg(
+        F.sum("amount").alias("__v"), F.min(order).alias("__o"))
     first, second = F.col("__s") == 0, F.col("__s") == 1
-    sums = stacked.groupBy(*keys).agg(
+
+    def name(side, column):
+        return F.min_by(column, F.when(
+            (F.col("__s") == side) & F.col(column).isNotNull(), F.struct("__o", column)))
+
+    sums = named.groupBy(*keys).agg(
         F.count_if(first).alias("__n0"), F.count_if(second).alias("__n1"),
-        F.sum(F.when(first, F.col("amount"))).alias("__b"),
-        F.sum(F.when(second, F.col("amount"))).alias("__a"),
+        F.sum(F.when(first, F.col("__v"))).alias("__b"),
+        F.sum(F.when(second, F.col("__v"))).alias("__a"),
         F.coalesce(name(1, "program_name"), name(0, "program_name")).alias("program_name"),
         F.coalesce(name(1, "department_name"), name(0, "department_name")).alias(
             "department_name"))

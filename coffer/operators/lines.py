@@ -460,16 +460,23 @@ def dedupe_large_repeats(df, scope=("doc_id",), order="line_number", threshold=L
 
 
 def distinct_departments(df, order="line_number"):
-    """First row's name per department code."""
-    return df.groupBy("department_code").agg(
-        F.min_by("department_name", order).alias("department_name"))
+    """First row's name per department code (ties by name).
+
+    The first place of every distinct name is a numeric minimum, taken before
+    the names themselves are compared.
+    """
+    places = df.groupBy("department_code", "department_name").agg(F.min(order).alias("__o"))
+    return places.groupBy("department_code").agg(
+        F.min_by("department_name", F.struct("__o", "department_name")).alias("department_name"))
 
 
 def distinct_programs(df, order="line_number"):
     """First row's attributes per program; capital if its first row is capital."""
-    return df.groupBy("program_id").agg(
-        F.min_by(F.struct("program_name", "department_code", "category",
-                          (F.col("section") == CAPITAL).alias("is_capital")), order).alias("r")
+    facts = ["program_name", "department_code", "category", "is_capital"]
+    places = df.withColumn("is_capital", F.col("section") == CAPITAL).groupBy(
+        "program_id", *facts).agg(F.min(order).alias("__o"))
+    return places.groupBy("program_id").agg(
+        F.min_by(F.struct(*facts), F.struct("__o", *facts)).alias("r")
     ).select("program_id", "r.*")
 
 

@@ -58,13 +58,18 @@ def summary_stats(df, value="amount", keys=()):
 
 def department_rollup(df, keys=("department_code",), descriptions=None):
     """Operating, capital, one-time, positions and total per department."""
-    out = df.where(F.col("department_code").isNotNull()).groupBy(*keys).agg(
-        F.min("department_name").alias("name"),
+    # Numeric sums per name first: they hash-aggregate in the map tasks, while a
+    # string minimum would sort every row there. The few names follow.
+    sums = ["operating_budget", "capital_budget", "one_time_appropriations", "positions"]
+    by_name = df.where(F.col("department_code").isNotNull()).groupBy(
+        *keys, "department_name").agg(
         sum_section(OPERATING).alias("operating_budget"),
         sum_section(CAPITAL).alias("capital_budget"),
         sum_section(ONE_TIME).alias("one_time_appropriations"),
         F.coalesce(F.sum("positions"), F.lit(0)).alias("positions"),
     )
+    out = by_name.groupBy(*keys).agg(
+        F.min("department_name").alias("name"), *[F.sum(c).alias(c) for c in sums])
     total = (
         F.col("operating_budget") + F.col("capital_budget") + F.col("one_time_appropriations")
     )
