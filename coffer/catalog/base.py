@@ -8,6 +8,18 @@ from ..schema import FUND_NAMES
 QUERIES = {}
 ORACLES = {}
 
+# Integer columns that SQL types more narrowly than the 64-bit output here.
+LONG_COLUMNS = {
+    "carry": ["line_no"], "year_pair": ["line_no"], "positions": ["line_no"], "amend": ["line_no"],
+    "bill_allocations": ["line_number"], "projects": ["line_number"], "reissue": ["block"],
+    "grants": ["block_line", "line_number"], "grant_audit": ["block_line"],
+    "county_op": ["level"], "gf_tree": ["level"], "money": ["l_linenumber"],
+    "veto_unpivot": ["fiscal_year"], "one_time": ["fiscal_year"], "cat_order": ["place"],
+    "year_detail": ["source_rank"], "first_source": ["source_rank"],
+    "word_lines_thirds": ["n_words"], "nearest_col": ["line_top", "ordinal"],
+    "deltas": ["fiscal_year"], "source_counts": ["source_rank"],
+}
+
 
 def query(name, sql=None):
     """Register a query; ``sql`` is its counterpart over the same tables."""
@@ -17,7 +29,8 @@ def query(name, sql=None):
             raise ValueError(f"query {name!r} registered twice")
         QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in LONG_COLUMNS.get(name, []))
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return fn
 
     return add
