@@ -17,7 +17,8 @@ LONG_COLUMNS = {
     "veto_unpivot": ["fiscal_year"], "one_time": ["fiscal_year"], "cat_order": ["place"],
     "year_detail": ["source_rank"], "first_source": ["source_rank"],
     "word_lines_thirds": ["n_words"], "nearest_col": ["line_top", "ordinal"],
-    "deltas": ["fiscal_year"], "source_counts": ["source_rank"],
+    "stacked_lines": ["n"], "band_values": ["n"], "revenue_cells": ["fiscal_year"],
+    "banded_projects": ["n"], "deltas": ["fiscal_year"], "source_counts": ["source_rank"],
 }
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import parse_money
 from ..schema import CAPITAL, MONEY, OPERATING
+from ..session import cut_lineage
 from .lines import _positions
-from .ordered import carry_forward
+from .ordered import carry_forward, settle
 
 PAGE = ["doc_id", "page"]
 LINE_SPAN = 100_000
@@ -138,13 +139,31 @@ def line_numbers(lines, style="decorated"):
 
 
 def column_values(lines, columns, names, style="decorated", offset=17.0, tolerance=25.0):
-    """Lines with one value column per named table column."""
-    values = nearest_column(line_numbers(merge_fragments(lines), style), columns,
-                            offset=offset, tolerance=tolerance)
-    wide = values.groupBy(*PAGE, "line_top").agg(
-        *[F.max(F.when(F.col("ordinal") == i, F.col("value"))).alias(n)
-          for i, n in enumerate(names)])
-    return lines.join(wide, [*PAGE, "line_top"], "left")
+    """Lines with one value column per named table column.
+
+    Works inside each line: its words meet the short column list of the page,
+    so rows are neither multiplied nor joined back.
+    """
+    lists = columns.groupBy(*PAGE).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "edge"))).alias("cols"))
+    merged = merge_fragments(lines).join(lists, PAGE, "left")
+
+    def placed(w):
+        best = F.array_min(F.transform("cols", lambda c: F.struct(
+            F.abs(c["edge"] + offset - w["x1"]).alias("gap"), c["ordinal"].alias("ordinal"))))
+        return F.struct(parse_money(w["text"], style).alias("v"), best.alias("best"))
+
+    numbers = F.filter(
+        F.transform("words", placed),
+        lambda s: s["v"].isNotNull() & (s["best"]["gap"] <= tolerance))
+    with_numbers = settle(merged, {"numbers": numbers})
+
+    def first_in(ordinal):
+        hits = F.filter("numbers", lambda s: s["best"]["ordinal"] == ordinal)
+        return F.try_element_at(hits, F.lit(1))["v"]
+
+    return with_numbers.withColumns(
+        {n: first_in(i) for i, n in enumerate(names)}).drop("cols", "numbers")
 
 
 def recommended(prefix):
@@ -175,7 +194,8 @@ def request_rows(words, programs, funds, labels=None, band=150):
     """
     labels = labels or REQUEST_LABELS + ["BIENNIUM", "BIENNIUM", "CHANGE"]
     columns = header_columns(words, labels, band)
-    lines = column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE)
+    lines = cut_lineage(
+        column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE))
     upper = F.upper("line")
     event = (
         F.when(upper.contains("CAPITAL INVESTMENT"), F.lit("capital"))
@@ -210,7 +230,8 @@ def request_projects(words, programs, funds, band=170):
     rows follow until the next header or the program totals.
     """
     columns = header_columns(words, REQUEST_LABELS, band)
-    lines = column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE)
+    lines = cut_lineage(
+        column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE))
     first = F.element_at("words", 1)
     titled = F.exists(F.slice("words", 2, 1000), lambda w: ~w["text"].rlike(r"^-?[\d,]+$"))
     header = (first["text"].rlike(PROJECT_CODE) & ~first["text"].isin(COST_WORDS) & titled
