@@ -127,7 +127,8 @@ def merge_fragments(lines, gap=3.0):
     source = F.transform("words", lambda w: F.struct(
         w["x0"].cast("double").alias("x0"), w["x1"].cast("double").alias("x1"),
         w["text"].alias("text")))
-    out = lines.withColumn("words", F.aggregate(source, start, step)["out"])
+    folded = settle(lines, {"__merged": F.aggregate(source, start, step)["out"]})
+    out = folded.withColumn("words", F.col("__merged")).drop("__merged")
     return out.withColumn("line", F.array_join(F.transform("words", lambda w: w["text"]), " "))
 
 
