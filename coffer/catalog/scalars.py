@@ -270,7 +270,13 @@ def label(spark, d):
         "label", X.truncate_label(F.col("department_code"), F.col("program_name"), 8))
 
 
-@query("md_norm")
+@query("md_norm", r"""
+WITH a AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(160), ' ') AS t
+  FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '\\([^\w\s]|_)', '\1', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '\n{3,}',
+  chr(10) || chr(10), 'g') AS t FROM b)
+SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM c""")
 def md_norm(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", X.normalize_markdown(F.col("text")).alias("text"))
