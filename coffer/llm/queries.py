@@ -1,5 +1,7 @@
 """Registered queries of this package."""
 
+from pyspark.sql import functions as F
+
 from .common import table
 
 QUERIES = {}
@@ -31,3 +33,37 @@ def op3_embeddings(spark, sf_dir):
 def op9_html(spark, sf_dir):
     from .markup import extract_main_text
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    from .quality import score_quality
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark, sf_dir):
+    from .decontaminate import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import encode_decode
+    coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    from .pii import replace_personal_data
+    return replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
