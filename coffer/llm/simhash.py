@@ -1,4 +1,4 @@
-"""Near copies by SimHash: fingerprints in shards of a vantage-point tree."""
+"""Near copies by SimHash: fingerprints in shards of vantage-point trees."""
 
 import numpy as np
 import pandas as pd
@@ -42,43 +42,59 @@ def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series(np.array(values, np.uint64).view(np.int64))
 
 
+ALL_BITS = (1 << 64) - 1
+
+
+def bands(bits):
+    """(mask, radius) pairs of which one holds for any two values at ``bits`` or fewer
+    differing bits: the first band allows one differing bit, the others none."""
+    n = max(1, bits)
+    edge = [64 * i // n for i in range(n + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:])]
+    return [(m, (1 if bits else 0) if i == 0 else 0) for i, m in enumerate(masks)]
+
+
 class VantageTree:
-    """Vantage-point tree over 64-bit values and the Hamming distance.
+    """Vantage-point tree over 64-bit values and the Hamming distance on a band of bits.
 
     A node keeps a vantage value and a radius: values within the radius lie inside, the
     others outside.  ``d(q, x) >= |d(q, v) - d(x, v)|`` lets a search leave out a side.
+    Values that agree on the band are told apart by all bits, with the full search radius.
     """
 
-    def __init__(self, values, leaf, depth=40, seed=7):
-        self.leaves = 0
+    def __init__(self, values, leaf, mask=ALL_BITS, reach=4, full_reach=4, depth=48, seed=7):
+        self.leaves, self.full_reach = 0, full_reach
         self.rng = np.random.default_rng(seed)
-        self.root = self._grow(np.asarray(values, np.uint64), leaf, depth)
+        self.root = self._grow(np.asarray(values, np.uint64), leaf, depth, np.uint64(mask), reach)
 
-    def _grow(self, values, leaf, depth):
+    def _grow(self, values, leaf, depth, mask, reach):
         if depth and len(values) > leaf:
             # of a few candidates, the vantage value whose distances spread most
             picks = values[self.rng.choice(len(values), min(8, len(values)), replace=False)]
             some = values[self.rng.choice(len(values), min(256, len(values)), replace=False)]
-            spread = np.bitwise_count(picks[:, None] ^ some[None, :]).std(1)
+            spread = np.bitwise_count((picks[:, None] ^ some[None, :]) & mask).std(1)
             v = picks[spread.argmax()]
-            d = np.bitwise_count(values ^ v)
+            d = np.bitwise_count((values ^ v) & mask)
             radius = int(np.median(d))
             if (d <= radius).all():
                 radius = int(d.max()) - 1
             near = d <= radius
             if near.any():
-                return (v, radius, self._grow(values[near], leaf, depth - 1),
-                        self._grow(values[~near], leaf, depth - 1))
+                return (mask, v, radius, reach, self._grow(values[near], leaf, depth - 1, mask, reach),
+                        self._grow(values[~near], leaf, depth - 1, mask, reach))
+            if mask != np.uint64(ALL_BITS):
+                return self._grow(values, leaf, depth, np.uint64(ALL_BITS), self.full_reach)
         self.leaves += 1
         return self.leaves - 1, values
 
-    def reach(self, q, r):
-        """(leaf number, leaf values, positions in q, own) for every leaf a query meets.
+    def reach(self, q, own):
+        """(leaf number, leaf values, positions in q, own) for every leaf a value meets.
 
-        ``own`` marks the queries that belong to that leaf; the others only lie within ``r``
-        of its boundary.
+        A value has one leaf of its own.  From there it visits, as a guest, the leaves beyond
+        a boundary within reach; of two values apart only the inner one crosses, and values
+        that are guests from the start (``own`` false) look at both sides.
         """
-        stack = [(self.root, np.arange(len(q)), np.ones(len(q), bool))]
+        stack = [(self.root, np.arange(len(q)), own)]
         while stack:
             node, at, own = stack.pop()
             if not len(at):
@@ -86,21 +102,22 @@ class VantageTree:
             if len(node) == 2:
                 yield node[0], node[1], at, own
                 continue
-            v, radius, near, far = node
-            d = np.bitwise_count(q[at] ^ v).astype(np.int64)
-            go = d <= radius + r
-            stack.append((near, at[go], (own & (d <= radius))[go]))
-            go = d > radius - r
-            stack.append((far, at[go], (own & (d > radius))[go]))
+            mask, v, radius, r, near, far = node
+            d = np.bitwise_count((q[at] ^ v) & mask).astype(np.int64)
+            inside = d <= radius
+            go = inside | ~own & (d <= radius + r)
+            stack.append((near, at[go], (own & inside)[go]))
+            go = ~inside | (d > radius - r)
+            stack.append((far, at[go], (own & ~inside)[go]))
 
 
 def _links(values, guests, r):
     """Index pairs (i of values, j of values and guests together) within distance r."""
     every = np.concatenate((values, guests))
     order = np.argsort(values, kind="stable")
-    tree = VantageTree(values, leaf=256)
+    tree = VantageTree(values, leaf=256, reach=r)
     left, right = [], []
-    for _, held, at, _ in tree.reach(every, r):
+    for _, held, at, _ in tree.reach(every, np.arange(len(every)) < len(values)):
         idx = order[np.searchsorted(values[order], held)]
         for block in range(0, len(at), 4096):
             part = at[block:block + 4096]
@@ -113,33 +130,34 @@ def _links(values, guests, r):
     return a[keep], b[keep]
 
 
-def near_fingerprints(fps, bits=4, per_shard=2048, max_shards=16384):
+def near_fingerprints(fps, bits=4, per_shard=4096, max_shards=16384):
     """Links between distinct fingerprints ``(fp, node)`` at ``bits`` or fewer differing bits.
 
-    The tree that deals fingerprints to shards is grown on a sample of at most
-    ``16 * max_shards`` values; every fingerprint then goes to its own shard and, as a
-    guest, to each shard within reach of its boundary.  Shards are searched exactly.
-    Returns links ``(u, v)`` between nodes that join the same classes as all the links do.
+    Two such fingerprints agree on one of a few bands of bits, but for one bit in the first
+    band.  Each band has a vantage-point tree that deals fingerprints to shards; it is grown
+    on a sample of at most ``16 * max_shards`` values.  Every fingerprint goes to its own
+    shard and, as a guest, to each shard within reach of its boundary.  Shards are searched
+    exactly, by trees of their own.  Returns links ``(u, v)`` between nodes that join the
+    same classes as all the links do.
     """
     spark = fps.sparkSession
     n = fps.count()
     shards = 1
     while shards * per_shard < n and shards < max_shards:
         shards *= 2
-    sample = np.zeros(0, np.int64)
-    if shards > 1:
-        picked = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * shards)
-        sample = picked.toPandas()["fp"].to_numpy(np.int64)
-    tree = VantageTree(sample.view(np.uint64), leaf=SAMPLE_PER_SHARD)
-    shared = spark.sparkContext.broadcast(tree)
+    picked = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_PER_SHARD * shards)
+    sample = picked.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    leaf = max(2, len(sample) // shards)
+    shared = spark.sparkContext.broadcast(
+        [VantageTree(sample, leaf, m, r, bits) for m, r in bands(bits)])
 
     def route(batches):
-        top = shared.value
         for pdf in batches:
             q = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            for leaf, _, at, own in top.reach(q, bits):
-                yield pd.DataFrame({"shard": leaf, "fp": q[at].view(np.int64),
-                                    "node": pdf["node"].to_numpy()[at], "home": own})
+            for t, tree in enumerate(shared.value):
+                for number, _, at, own in tree.reach(q, np.ones(len(q), bool)):
+                    yield pd.DataFrame({"tree": t, "shard": number, "fp": q[at].view(np.int64),
+                                        "node": pdf["node"].to_numpy()[at], "home": own})
 
     def search(pdf):
         pdf = pdf.sort_values("home", ascending=False, kind="stable")
@@ -151,8 +169,10 @@ def near_fingerprints(fps, bits=4, per_shard=2048, max_shards=16384):
         moved = low != np.arange(len(q))
         return pd.DataFrame({"u": node[low[moved]], "v": node[moved]})
 
-    routed = fps.select("fp", "node").mapInPandas(route, "shard int, fp long, node long, home boolean")
-    return routed.groupBy("shard").applyInPandas(search, "u long, v long")
+    parts = max(spark.sparkContext.defaultParallelism, n // 20000)
+    routed = fps.select("fp", "node").repartition(parts).mapInPandas(
+        route, "tree int, shard int, fp long, node long, home boolean")
+    return routed.groupBy("tree", "shard").applyInPandas(search, "u long, v long")
 
 
 def simhash_classes(docs, bits=4, words=4, id_col="doc_id", text_col="text"):
