@@ -67,3 +67,12 @@ def op6_bpe(spark, sf_dir):
 def op7_pii(spark, sf_dir):
     from .pii import replace_personal_data
     return replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+@query("op10_token_files")
+def op10_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_files import read_token_files, write_token_files
+    blocks = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
