@@ -76,3 +76,9 @@ def op10_token_files(spark, sf_dir):
     from .token_files import read_token_files, write_token_files
     blocks = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op2_suffixes")
+def op2_suffixes(spark, sf_dir):
+    from .suffixes import repeated_bytes
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
