@@ -82,3 +82,9 @@ def op10_token_files(spark, sf_dir):
 def op2_suffixes(spark, sf_dir):
     from .suffixes import repeated_bytes
     return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op8_passages")
+def op8_passages(spark, sf_dir):
+    from .passages import near_passages
+    return near_passages(table(spark, sf_dir, "documents"))
