@@ -1,7 +1,5 @@
 """Benchmark passages in documents, found by winnowed fingerprints and exact windows."""
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -116,7 +114,8 @@ def contamination(docs, benchmark, window=WINDOW, id_col="doc_id", text_col="tex
                                 "n_hit": [r[1] for r in rows], "items": [r[2] for r in rows],
                                 "spans": [r[3] for r in rows]})
 
-    out = base.join(candidates, "id", "left").mapInPandas(
+    held = candidates.withColumnRenamed("id", "held_id")
+    out = base.join(held, base["id"].eqNullSafe(held["held_id"]), "left").drop("held_id").mapInPandas(
         extend, f"id {id_type}, n_words long, n_hit long, items array<string>, "
                 "spans array<struct<first:long,length:long>>")
     return out.withColumnRenamed("id", id_col)
@@ -159,12 +158,6 @@ def _extend(words, h, a, b, held, window):
 def drop_contaminated(docs, benchmark, id_col="doc_id", text_col="text"):
     """Documents without any benchmark span; all columns stay."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("n_hit > 0")
-    return docs.join(materialize(bad.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
-
-
-def items_digest(items):
-    return F.sha2(F.concat_ws(",", items), 256)
-
+    bad = materialize(bad.select(F.col(id_col).alias("bad_id")).distinct())
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
 
-def digest(ids):
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

@@ -199,7 +199,12 @@ def simhash_classes(docs, bits=4, words=4, id_col="doc_id", text_col="text"):
 
 
 def drop_near_copies(docs, bits=4, id_col="doc_id", text_col="text"):
-    """Keep the document with the smallest id of each class; all columns stay."""
-    keep = (simhash_classes(docs, bits, id_col=id_col, text_col=text_col)
-            .where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    return docs.join(materialize(keep), id_col, "left_semi").select(*docs.columns)
+    """Keep the document with the smallest id of each class; all columns stay.
+
+    Rows without an id can't stand for a class and stay; rows that repeat an id go only if
+    none of them leads a class.
+    """
+    classes = simhash_classes(docs, bits, id_col=id_col, text_col=text_col)
+    gone = materialize(classes.groupBy(F.col(id_col).alias("gone_id")).agg(
+        F.bool_and(F.col(id_col) != F.col("component_id")).alias("gone")).where("gone").select("gone_id"))
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
