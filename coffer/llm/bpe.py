@@ -3,7 +3,10 @@
 import codecs
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,9 +17,9 @@ from tokenizers import Regex as TokenizerRegex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from .common import small_batches
+from .common import Recent, small_batches
 
-CACHE = 1 << 17
+CACHE = 1 << 18
 CACHED_LENGTH = 48
 NEVER = 1 << 60
 
@@ -32,6 +35,14 @@ def byte_letters():
     return letters
 
 
+def packed(ids):
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Merges:
     """A merge list over symbol ids, and how far a decision can depend on what follows.
 
@@ -59,16 +70,16 @@ class Merges:
         """Apply the merges to a list of symbols, lowest rank first, then leftmost."""
         if len(ids) > 64:
             return self._settle_long(ids)
-        rank, ids = self.rank, list(ids)
-        waiting = [rank.get(p, NEVER) for p in zip(ids, ids[1:])]
+        get, made, ids = self.rank.get, self.made, list(ids)
+        waiting = list(map(get, zip(ids, ids[1:]), repeat(NEVER)))
         while waiting and (low := min(waiting)) != NEVER:
             i = waiting.index(low)
-            ids[i:i + 2] = [self.made[low]]
-            del waiting[i]
+            del waiting[i], ids[i]
+            ids[i] = new = made[low]
             if i < len(waiting):
-                waiting[i] = rank.get((ids[i], ids[i + 1]), NEVER)
+                waiting[i] = get((new, ids[i + 1]), NEVER)
             if i:
-                waiting[i - 1] = rank.get((ids[i - 1], ids[i]), NEVER)
+                waiting[i - 1] = get((ids[i - 1], new), NEVER)
         return ids
 
     def _settle_long(self, ids):
@@ -145,33 +156,40 @@ class Vocabulary:
         self.bytes_of = {c: b for b, c in letters.items()}
         self.library = Tokenizer.from_file(path)
         self.splitter = Split(TokenizerRegex(split["pattern"]["Regex"]), "removed", invert=True)
-        self.cache, self.words = {}, {}
+        self.cache, self.words = Recent(CACHE), Recent(CACHE)
         self.spaced = {i: " " + t for i, t in self.tokens.items()}
 
     def word(self, piece):
-        """Ids of one piece, through the streaming encoder."""
-        known = self.words.get(piece)
+        """Ids of one piece as bytes, through the streaming encoder."""
+        known = self.words.young.get(piece)
+        if known is None:
+            known = self.words.get(piece)
         if known is not None:
             return known
         raw = piece.encode("utf-8")
-        encoder, out = WordEncoder(self.merges, self.lengths), []
-        for b in raw[:-1]:
-            if self.symbol[b] is not None:
-                out += encoder.push(self.symbol[b])
-        if self.last[raw[-1]] is not None:
-            out += encoder.push(self.last[raw[-1]])
-        out += encoder.finish()
+        symbols = [self.symbol[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+        symbols = [s for s in symbols if s is not None]
+        if len(symbols) <= CACHED_LENGTH:  # the encoder would hold them all until the end
+            out = self.merges.settle(symbols)
+        else:
+            encoder, out = WordEncoder(self.merges, self.lengths), []
+            for s in symbols:
+                out += encoder.push(s)
+            out += encoder.finish()
+        out = packed(out)
         if len(piece) <= CACHED_LENGTH:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[piece] = out
+            self.words.put(piece, out)
         return out
 
     def split(self, text):
         """Normalised pieces; beyond Latin letters by the library's own character tables."""
-        if text < "\u02b0" and max(text) < "\u02b0":
-            return self.pieces.findall(
-                unicodedata.normalize("NFC", text).lower())
+        if max(text) < "\u02b0":
+            normal = unicodedata.normalize("NFC", text).lower()
+            if normal.isalpha():
+                return [normal]
+            if normal[-1] in ",." and normal[:-1].isalpha():
+                return [normal[:-1], normal[-1]]
+            return self.pieces.findall(normal)
         normal = self.library.normalizer.normalize_str(text)
         return [s for s, _ in self.splitter.pre_tokenize_str(normal)]
 
@@ -179,18 +197,15 @@ class Vocabulary:
         """Ids (as little-endian 32-bit bytes) of a chunk that spaces bound on both sides."""
         out = self.cache.get(text)
         if out is None:
-            ids = [i for p in self.split(text) for i in self.word(p)]
-            out = np.array(ids, "<u4").tobytes()
+            out = b"".join([self.word(p) for p in self.split(text)])
             if len(text) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = out
+                self.cache.put(text, out)
         return out
 
     def plain(self, text):
-        get, chunk = self.cache.get, self.chunk
+        cache, chunk = self.cache, self.chunk
         # a line break parts pieces just as a space does
-        return b"".join([c if (c := get(w)) is not None else chunk(w)
+        return b"".join([c if (c := cache.young.get(w)) is not None else chunk(w)
                          for w in text.replace("\n", " ").split(" ") if w])
 
     def encode(self, text):
@@ -199,7 +214,7 @@ class Vocabulary:
             return self.plain(text)
         out, at = [], 0
         for m in self.special_pattern.finditer(text):
-            out += [self.plain(text[at:m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+            out += [self.plain(text[at:m.start()]), packed([self.special[m[0]]])]
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 

@@ -42,6 +42,28 @@ def small_batches(spark, rows=500):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+class Recent:
+    """A memory of at most ``2 * limit`` results that keeps what is asked for again.
+
+    When the young half is full it becomes the old one; an old entry that is used moves back.
+    """
+
+    def __init__(self, limit):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key):
+        """For keys that are not in ``young``."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Words:
     """Words of many texts at once: byte buffer, bounds and owner of every word.
 
