@@ -113,14 +113,18 @@ def _like(stream, text, hexadecimal=False):
 
 
 def surrogate(key, kind, canon, attempt=0):
-    """Canonical surrogate of a canonical entity; the same key gives the same surrogate."""
+    """Canonical surrogate of a canonical entity; the same key gives the same surrogate.
+
+    After a few attempts letters are added, so that even a crowded format runs out of clashes.
+    """
     s = _Stream(_key_bytes(key), kind, canon, attempt)
+    more = "a" * max(0, attempt - 3)
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         *labels, top = domain.split(".")
-        return f"{_like(s, local)}@{'.'.join(_like(s, x) for x in labels)}.{top}"
+        return f"{_like(s, local + more)}@{'.'.join(_like(s, x) for x in labels)}.{top}"
     if kind == "secret":
-        return _like(s, canon, all(c in "0123456789abcdef" for c in canon))
+        return _like(s, canon + more, all(c in "0123456789abcdef" for c in canon))
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "person":
@@ -129,7 +133,7 @@ def surrogate(key, kind, canon, attempt=0):
         parts = name.split(" ")
         made = [_choose(s, GIVEN[gender, script])] if len(parts) > 1 else []
         while len(made) < len(parts):
-            made.append("".join(_choose(s, SYLLABLES[script]) for _ in range(4)).capitalize())
+            made.append("".join(_choose(s, SYLLABLES[script]) for _ in range(4 + len(more))).capitalize())
         return f"{gender} {' '.join(made)}"
     if kind == "iban":
         return canon[:2] + _like(s, canon[2:])
@@ -233,7 +237,8 @@ def replace_personal_data(docs, key="corpus", id_col="doc_id", text_col="text"):
         mine = mine.select(id_col, F.concat_ws("\0", "kind", "canon").alias("k"), "made").distinct()
         maps = materialize(mine.groupBy(id_col).agg(
             F.map_from_entries(F.collect_list(F.struct("k", "made"))).alias("__late")))
-        base = docs.join(maps, id_col, "left")
+        maps = maps.withColumnRenamed(id_col, "__id")
+        base = docs.join(maps, docs[id_col].eqNullSafe(maps["__id"]), "left")
 
     out = StructType([StructField("text", StringType()), StructField("kinds", ArrayType(StringType()))])
 

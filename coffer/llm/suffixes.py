@@ -19,7 +19,6 @@ from .common import BASE, BYTE_VALUES, INVERSE, _powers, gram_hashes, materializ
 
 CHUNK_BYTES = 4 << 20
 GRAM = 26
-NO_ID = -(1 << 63)
 
 
 def suffix_classes(strings, length, group):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, small_batches
+from .common import Recent, materialize, small_batches
 
 MAGIC = b"CMX1"
 HEAD = struct.Struct("<4s5IQ")
@@ -31,6 +31,7 @@ U = np.uint64
 _M32 = U((1 << 32) - 1)
 _FLOOR = U(1 << 32)
 _SLOTS = 1 << 20
+NO_ID = -(1 << 63)
 
 # Probabilities have 12 bits.  ``SQUASH`` maps a mixed score to one by x / (K + |x|), and
 # ``STRETCH`` is its inverse; integers only, so every machine computes the same.
@@ -271,8 +272,8 @@ class _ByteEncoder:
     has no white space on either side.
     """
 
-    def __init__(self, path, limit=1 << 17):
-        self.library, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+    def __init__(self, path, limit=1 << 18):
+        self.library, self.known = Tokenizer.from_file(path), Recent(limit)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -293,13 +294,13 @@ class _ByteEncoder:
                 chunks[-1] += " " + part
         known, out = self.known, []
         for c in chunks:
-            ids = known.get(c)
+            ids = known.young.get(c)
+            if ids is None:
+                ids = known.get(c)
             if ids is None:
                 ids = self._whole(c)
                 if len(c) <= 48:
-                    if len(known) >= self.limit:
-                        known.clear()
-                    known[c] = ids
+                    known.put(c, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -318,12 +319,11 @@ def write_token_files(docs, path, end_id=0, id_col="doc_id", text_col="text", bl
 
     Returns the written blocks ``(part, block, first_id, block_bytes)``.  Null and empty texts
     give the end id alone; rows of equal id stay apart, in order of their text; rows without
-    an id can't be placed and raise an error; an empty table gives no block.
+    an id come first; an empty table gives no block.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.assert_true(F.col(id_col).isNotNull(), F.lit("a document has no id")).alias("ok"),
-                       F.col(id_col).cast("long").alias("id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("ok IS NULL")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def code(batches):
         encoder, part = _encoder(path), TaskContext.get().partitionId()
@@ -348,7 +348,7 @@ def write_token_files(docs, path, end_id=0, id_col="doc_id", text_col="text", bl
         if ids:
             yield block()
 
-    dealt = rows.select("id", "text").repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     return materialize(dealt.mapInPandas(
         code, "part int, block int, first_id long, n_ids long, block_bytes binary"))
 
@@ -383,4 +383,5 @@ def read_token_files(blocks, id_col="doc_id"):
 
     return blocks.select("part", "block_bytes").mapInPandas(
         decode, "id long, n_tokens long, start long, ids_crc32 long, token_ids binary").select(
-        F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32", "token_ids")
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "start", "n_tokens", "ids_crc32",
+        "token_ids")
