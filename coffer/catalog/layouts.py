@@ -216,13 +216,16 @@ def stacked_lines(spark, d):
 
 
 @query("band_values", _ROWS + """
-SELECT doc_id, page, n, 'amount' AS band, CAST(v AS DOUBLE) AS value FROM r
+SELECT doc_id, page, n, 'amount' AS band, CAST(CAST(v AS VARCHAR) || lpad(CAST(q % 100 AS VARCHAR), 2, '0')
+  AS DOUBLE) AS value FROM r
 UNION ALL SELECT doc_id, page, n, 'quantity', CAST(-q AS DOUBLE) FROM r WHERE q <> 0
 UNION ALL SELECT doc_id, page, n, 'quantity', 0 FROM r WHERE q = 0""")
 def band_values(spark, d):
     top = F.lit(10) * F.col("n")
     words = _rows(spark, d).select("doc_id", "page", F.inline(F.array(
-        _word(100, 130, top, F.format_number("v", 0)),
+        _word(100, 118, top, F.format_number("v", 0)),
+        _word(119, 130, top, F.lpad((F.col("q") % 100).cast("string"), 2, "0")),
+        _word(80, 99, top, F.lit("2027")),
         _word(300, 330, top, F.concat(F.lit("("), F.col("q").cast("string"), F.lit(")"))),
         _word(400, 430, top, F.lit("12")), _word(5, 9, top, F.lit("x")))))
     values = C.band_values(C.word_lines(words, "round"), [("amount", 110.0), ("quantity", 290.0)])
@@ -247,14 +250,13 @@ def revenue_cells(spark, d):
 
 
 @query("banded_projects", _ROWS + """
-, t AS (SELECT * FROM r WHERE v >= 1000)
+, t AS (SELECT * FROM r WHERE v <> 0)
 SELECT doc_id, page, n, 'Public Safety' AS department_name, 'Hall ' || n AS program_name,
   'GL' AS code, CAST(v AS DOUBLE) AS amount FROM t""")
 def banded_projects(spark, d):
     top = F.lit(200) + F.lit(30) * F.col("n")
     rows = _rows(spark, d)
-    big = rows.where(F.col("v") >= 1000)
-    body = big.select("doc_id", "page", F.inline(F.array(
+    body = rows.select("doc_id", "page", F.inline(F.array(
         _word(50, 80, top, F.concat(F.lit("2001234 Hall "), F.col("n").cast("string"))),
         _word(430, 450, top, F.format_number("v", 0)), _word(510, 550, top, F.format_number("v", 0)),
         _word(480, 490, top + 9, F.lit("GL")))))

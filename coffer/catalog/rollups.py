@@ -174,11 +174,11 @@ def fund_profile(spark, d):
 SELECT department_code, count(DISTINCT program_id) AS programs, count(amount) AS n,
        CAST(sum(amount) AS DOUBLE) AS total
 FROM alloc WHERE section = 'Capital Improvement' GROUP BY ALL
-ORDER BY total DESC, department_code LIMIT 10"""))
+ORDER BY total DESC, department_code"""))
 def dept_profile(spark, d):
     rows = allocations(spark, d, "section", "department_code", "program_id", "amount")
     profile = R.department_profile(rows.where(F.col("section") == "Capital Improvement"))
-    return profile.orderBy(F.desc("total"), "department_code").limit(10)
+    return profile.orderBy(F.desc("total"), "department_code")
 
 
 def _county(spark, d):
@@ -211,13 +211,13 @@ def county_cip(spark, d):
 
 @query("county_entry", with_alloc("""
 , c AS (SELECT split_part(department_name, ' ', 2) AS county, fiscal_year, section, amount
-  FROM alloc WHERE fiscal_year <> 1996),
+  FROM alloc),
 s AS (SELECT county, fiscal_year, sum(amount) AS total,
    coalesce(sum(CASE WHEN section = 'Operating' THEN amount END), 0) AS operating,
    coalesce(sum(CASE WHEN section = 'Capital Improvement' THEN amount END), 0) AS capital
   FROM c GROUP BY ALL),
 g AS (SELECT r_name AS county, y AS fiscal_year FROM region,
-      (VALUES (1995), (1996), (1997)) v(y))
+      (SELECT unnest(range(1990, 2001)) AS y) v)
 SELECT g.county, CAST(g.fiscal_year AS BIGINT) AS fiscal_year, total IS NOT NULL AS available,
        CAST(coalesce(total, 0) AS DOUBLE) AS total,
        CAST(coalesce(operating, 0) AS DOUBLE) AS operating,
@@ -225,11 +225,10 @@ SELECT g.county, CAST(g.fiscal_year AS BIGINT) AS fiscal_year, total IS NOT NULL
 FROM g LEFT JOIN s USING (county, fiscal_year)"""))
 def county_entry(spark, d):
     rows = allocations(spark, d, "department_name", "fiscal_year", "section", "amount").withColumn(
-        "county", F.element_at(F.split("department_name", " "), 2)).where(
-        F.col("fiscal_year") != 1996)
+        "county", F.element_at(F.split("department_name", " "), 2))
     grid = spark.read.parquet(f"{d}/region.parquet").select(
         F.col("r_name").alias("county"),
-        F.explode(F.sequence(F.lit(1995), F.lit(1997))).alias("fiscal_year"))
+        F.explode(F.sequence(F.lit(1990), F.lit(2000))).alias("fiscal_year"))
     return R.county_entry(rows, grid)
 
 
@@ -473,12 +472,11 @@ BAND_ORDER = ["Retirement", "Health", "Entitlements", "Debt"]
 
 def _bands(spark, d):
     rows = allocations(spark, d, "category", "fiscal_year", "amount")
-    return R.bands(rows.where(F.col("category").isin(list(BANDS))), BANDS)
+    return R.bands(rows, BANDS)
 
 
-_BAND_SQL = f""", b AS (SELECT fiscal_year, CASE category {_BAND_CASE} END AS band,
-   sum(amount) AS amount FROM alloc
-   WHERE category IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') GROUP BY ALL)"""
+_BAND_SQL = f""", b AS (SELECT fiscal_year, CASE category {_BAND_CASE}
+   ELSE 'Unmapped' END AS band, sum(amount) AS amount FROM alloc GROUP BY ALL)"""
 
 
 @query("bands", with_alloc(_BAND_SQL + """
@@ -490,7 +488,7 @@ def bands(spark, d):
 @query("stack", with_alloc(_BAND_SQL + """
 SELECT fiscal_year, band, CAST(amount AS DOUBLE) AS amount,
   CAST(sum(amount) OVER (PARTITION BY fiscal_year ORDER BY list_position(
-    ['Retirement', 'Health', 'Entitlements', 'Debt'], band) ROWS UNBOUNDED PRECEDING)
+    ['Retirement', 'Health', 'Entitlements', 'Debt', 'Unmapped'], band) ROWS UNBOUNDED PRECEDING)
     AS DOUBLE) AS top FROM b"""))
 def stack(spark, d):
     return R.stacked(_bands(spark, d), BAND_ORDER)

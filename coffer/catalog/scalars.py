@@ -274,9 +274,19 @@ def label(spark, d):
 WITH a AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(160), ' ') AS t
   FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '\\([^\w\s]|_)', '\1', 'g') AS t FROM a),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '\n{3,}',
-  chr(10) || chr(10), 'g') AS t FROM b)
-SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM c""")
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '^[ \t]*\n*', '') AS t FROM b)
+SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN t ELSE
+    '[[d' || doc_id || ']]' || chr(10) || t || chr(10) || chr(10) ||
+    '[[note.1]]' || chr(10) || '  see https://e.org/' || doc_id || '! now' || chr(10) || chr(10) ||
+    '[[sources]]' || chr(10) || '[a]: one, [b] two' || chr(10) || '[c-1]: three' || chr(10) || chr(10) ||
+    '[[end]]' || chr(10) || 'x [a]: stays' END, '\n{3,}', chr(10) || chr(10), 'g'),
+  '^\s+|\s+$', '', 'g') || chr(10) AS text FROM c""")
 def md_norm(spark, d):
-    return table(spark, d, "documents").select(
-        "doc_id", X.normalize_markdown(F.col("text")).alias("text"))
+    number = F.col("doc_id").cast("string")
+    link = F.concat(F.lit("https://e.org/"), number)
+    keyed = F.concat(
+        F.lit("dropped [[no]] text\r\n  [[d"), number, F.lit("]]  \t"), "text",
+        F.lit("\n\n\n\\[\\[note.1\\]\\]\n\n\n  see ["), link, F.lit("]("), link,
+        F.lit(")\\!\u00a0now \n \n[[sources]] [a]: one, [b] two  [c-1]: three\t\n\n[[end]]\nx [a]: stays"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_markdown(
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(keyed)).alias("text"))

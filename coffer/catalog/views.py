@@ -64,7 +64,7 @@ SELECT line_number, part_key, supplier_key, program_id, program_name, fund_type,
 FROM alloc
 WHERE (contains(lower(program_name), 'ring') OR contains(lower(program_id), 'ring'))
   AND fund_type = 'A' AND section = 'Operating' AND starts_with(program_id, 'ECO')
-ORDER BY amount DESC, line_number, part_key, supplier_key LIMIT 200"""))
+ORDER BY amount DESC, line_number, part_key, supplier_key"""))
 def search(spark, d):
     rows = allocations(spark, d, *GRAIN, "program_id", "program_name", "fund_type", "section",
                        "amount")
@@ -269,23 +269,23 @@ SELECT p_partkey, key, is_text FROM (
          TRY_CAST(key AS DOUBLE) AS n FROM (
     SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS key
     FROM part))
-ORDER BY is_text, n, key, p_partkey LIMIT 100""")
+ORDER BY is_text, n, key, p_partkey""")
 def mixed_order(spark, d):
     keyed = table(spark, d, "part").select(
         "p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(
             F.col("p_brand")).alias("key"))
-    ordered = keyed.orderBy(*V.mixed_order_key(F.col("key")), "p_partkey").limit(100)
+    ordered = keyed.orderBy(*V.mixed_order_key(F.col("key")), "p_partkey")
     return ordered.withColumn("is_text", F.col("key").try_cast("double").isNull())
 
 
 @query("user_sort", with_alloc("""
 , s AS (SELECT department_code, program_id, CAST(sum(amount) AS DOUBLE) AS amount
   FROM alloc GROUP BY ALL)
-SELECT * FROM s ORDER BY lower(program_id) DESC, department_code LIMIT 100"""))
+SELECT * FROM s ORDER BY lower(program_id) DESC, department_code"""))
 def user_sort(spark, d):
     sums = allocations(spark, d, "department_code", "program_id", "amount").groupBy(
         "department_code", "program_id").agg(F.sum("amount").alias("amount"))
-    return V.user_sort(sums, "program_id", True, True, ["department_code"]).limit(100)
+    return V.user_sort(sums, "program_id", True, True, ["department_code"])
 
 
 @query("group_order", with_alloc("""

@@ -192,7 +192,9 @@ def schedule(spark, d):
         F.struct(F.lit(5).cast("long").alias("line_no"), F.lit("Department").alias("line")),
         F.struct(F.lit(2).cast("long").alias("line_no"), F.lit("Not read 1 2 3 4").alias("line")),
         F.struct(F.lit(900).cast("long").alias("line_no"),
-                 F.lit("Total expenditures 1 2 3 4").alias("line")))))
+                 F.lit("Total expenditures 1 2 3 4").alias("line")),
+        F.struct(F.lit(910).cast("long").alias("line_no"), F.lit("Department").alias("line")),
+        F.struct(F.lit(911).cast("long").alias("line_no"), F.lit("Again 1 2 3 4").alias("line")))))
     read = C.schedule_rows(body.unionByName(frame))
     return actuals_variance(read, ["department_name"])
 
@@ -268,17 +270,19 @@ def message_details(spark, d):
 @query("objectives", r"""
 WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS flat
   FROM documents),
-g AS (SELECT doc_id, regexp_replace(flat, '^[-*•\s]+', '') AS flat FROM f),
-h AS (SELECT doc_id, flat, regexp_extract(substr(flat, 1, 600), '(?s)^(.*[.!?])(?:\s|$)', 1) AS s FROM g)
-SELECT doc_id, 'AGR' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS program_id, 'LAND USE' AS title,
-  CASE WHEN length(flat) <= 600 THEN flat WHEN s <> '' THEN trim(s)
-       ELSE rtrim(substr(flat, 1, 600)) || '…' END AS objective
-FROM h WHERE flat <> ''""")
+g AS (SELECT doc_id, regexp_replace(flat, '^[-*•\s]+', '') AS flat FROM f)
+SELECT doc_id, 'AGR' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS program_id,
+  CASE WHEN doc_id % 2 = 0 THEN 'LAND USE' ELSE 'WATER 01' END AS title, flat AS objective
+FROM g WHERE flat <> ''""")
 def objectives(spark, d):
-    pages = table(spark, d, "documents").select("doc_id", F.concat(
-        F.lit("AGR "), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"),
-        F.lit(": LAND USE 01 03 01\nA. Statement of Program Objectives\n"), "text",
-        F.lit("\n B. Description of Request and more")).alias("text"))
+    number = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
+    end = F.lit("\n B. Description of Request and more")
+    biennial = F.concat(F.lit("AGR "), number, F.lit(
+        ": LAND USE 01 03 01\nA. Statement of Program Objectives\n"), "text", end)
+    supplemental = F.concat(F.lit("Program ID: agr "), number, F.lit(
+        "\nProgram Title: WATER 01\nA.Program Objective\n"), "text", end)
+    pages = table(spark, d, "documents").select("doc_id", F.when(
+        F.col("doc_id") % 2 == 0, biennial).otherwise(supplemental).alias("text"))
     return N.objective_text(pages).select("doc_id", "program_id", "title", "objective")
 
 
@@ -296,11 +300,14 @@ def source_counts(spark, d):
 
 
 @query("stutter", """
-SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN true ELSE false END AS repaired,
-       p_type || p_size || ': x' AS text FROM part""")
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN false ELSE true END AS repaired,
+       p_type || p_size || ': x ' || CASE WHEN p_size % 4 = 0 THEN '2277 aa' ELSE '277 aa -' END AS text FROM part""")
 def stutter(spark, d):
     plain = F.concat(F.col("p_type"), F.col("p_size").cast("string"), F.lit(":"))
-    tripled = F.regexp_replace(plain, r"(.)", "$1$1$1")
-    rows = table(spark, d, "part").select("p_partkey", F.concat(
-        F.when(F.col("p_size") % 2 == 0, tripled).otherwise(plain), F.lit(" x")).alias("text"))
+    # every glyph 2, 3 or 5 times; tokens of one run and of odd runs stay as they are
+    printed = F.lit(None).cast("string")
+    for turn, times in ((0, 1), (1, 2), (2, 3), (3, 5)):
+        printed = F.when(F.col("p_size") % 4 == turn, F.regexp_replace(plain, r"(.)", "$1" * times)).otherwise(printed)
+    tail = F.when(F.col("p_size") % 4 == 0, F.lit(" x 2277 aa")).otherwise(F.lit(" x 222277777777 aa ---"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(printed, tail).alias("text"))
     return N.collapse_stutter(rows)

@@ -483,7 +483,8 @@ def bands(df, mapping, year="fiscal_year", category="category", value="amount"):
 
 def stacked(df, order, year="fiscal_year", band="band", value="amount"):
     """Cumulative top of every band per year, in the given band order."""
-    place = F.array_position(F.array(*[F.lit(b) for b in order]), F.col(band))
+    listed = F.array_position(F.array(*[F.lit(b) for b in order]), F.col(band))
+    place = F.when(listed > 0, listed).otherwise(F.lit(len(order) + 1))  # bands not listed come last
     w = W.partitionBy(year).orderBy(place).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("top", F.sum(value).over(w))
 

@@ -89,9 +89,10 @@ def search_programs(df, text=None, fund=None, section=None, prefix=None):
     return out
 
 
-def top_rows(df, order, k=200):
-    """The first ``k`` rows of a report (sorted per task, then merged)."""
-    return df.orderBy(*order).limit(k)
+def top_rows(df, order, k=None):
+    """Rows in report order; with ``k`` only the first (sorted per task, then merged)."""
+    ordered = df.orderBy(*order)
+    return ordered if k is None else ordered.limit(k)
 
 
 def change_filter(df, kind, before="before", after="after"):

@@ -16,7 +16,7 @@ from .lines import _positions
 from .ordered import carry_forward, settle
 
 PAGE = ["doc_id", "page"]
-LINE_SPAN = 100_000
+LINE_SPAN = 1_000_000_000
 
 
 def line_tops(words, mode="tolerance", tolerance=2.0):
@@ -234,7 +234,7 @@ def request_projects(words, programs, funds, band=170):
     lines = cut_lineage(
         column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE))
     first = F.element_at("words", 1)
-    titled = F.exists(F.slice("words", 2, 1000), lambda w: ~w["text"].rlike(r"^-?[\d,]+$"))
+    titled = F.exists(F.slice("words", F.lit(2), F.size("words")), lambda w: ~w["text"].rlike(r"^-?[\d,]+$"))
     header = (first["text"].rlike(PROJECT_CODE) & ~first["text"].isin(COST_WORDS) & titled
               & (first["x0"] <= 90))
     totals = F.upper("line").contains("PROGRAM TOTALS")
@@ -351,11 +351,11 @@ def fund_section_rows(lines, funds, code=r"\b([A-Z]{1,3}-?\d{2,4}[A-Z0-9-]*|NEW)
 
 
 def banded_projects(lines, functions, name_edge=345, code_band=(470, 506),
-                    amount_band=(426, 468), total_edge=505):
+                    amount_band=(426, 468), total_edge=505, least_amount=0, least_total=0):
     """Capital source lines by x band: name, fund code, amount, carried section.
 
     The amount may stand on the line before; a line with an all-funds total
-    and a name opens a project.
+    and a name opens a project. Numbers below the least values are no amounts.
     """
     def amount(w):
         return parse_money(w["text"], "ocr")
@@ -368,8 +368,8 @@ def banded_projects(lines, functions, name_edge=345, code_band=(470, 506),
         lambda w: w["text"]), " "))
     codes = F.filter("words", lambda w: in_band(w, code_band) & (F.length(w["text"]) <= 4)
                      & ~w["text"].contains(",") & ~w["text"].rlike(r"^\d{3,}$"))
-    amounts = F.filter("words", lambda w: in_band(w, amount_band) & (F.abs(amount(w)) >= 500))
-    totals = F.filter("words", lambda w: (w["x0"] >= total_edge) & (F.abs(amount(w)) >= 1000))
+    amounts = F.filter("words", lambda w: in_band(w, amount_band) & (F.abs(amount(w)) >= least_amount))
+    totals = F.filter("words", lambda w: (w["x0"] >= total_edge) & (F.abs(amount(w)) >= least_total))
     shaped = lines.withColumns({
         "name": name, "code": F.try_element_at(codes, F.lit(-1))["text"],
         "amount": parse_money(F.try_element_at(amounts, F.lit(-1))["text"], "ocr"),
@@ -486,8 +486,17 @@ _SCHEDULE_VALUE = r"^\(?-?[\d,]+\)?$|^[-–—]$"
 
 def schedule_rows(lines, opens=r"^Department$", closes=r"^Total expenditures",
                   keys=("doc_id",)):
-    """Department lines of a schedule: a name and the last four values."""
-    inside = span_between(lines, opens, closes, keys)
+    """Department lines of a schedule: a name and the last four values.
+
+    A document's schedule ends for good at its first closing line.
+    """
+    keys, text = list(keys), F.trim("line")
+    begins = lines.where(text.rlike(opens)).groupBy(*keys).agg(F.min("line_no").alias("__begin"))
+    ends = lines.where(text.rlike(closes)).select(*keys, F.col("line_no").alias("__end"))
+    last = ends.join(begins, keys).where("__end > __begin").groupBy(*keys).agg(
+        F.min("__end").alias("__end"))
+    inside = span_between(lines, opens, closes, keys).join(last, keys, "left").where(
+        "__end IS NULL OR line_no < __end")
     tokens = F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t != "$")
     shaped = inside.withColumn("tokens", tokens).where(F.size("tokens") >= 5)
     values = F.slice("tokens", -4, 4)
@@ -502,16 +511,24 @@ def schedule_rows(lines, opens=r"^Department$", closes=r"^Total expenditures",
         (F.col("department_name") != "") & ~F.lower("department_name").startswith("total"))
 
 
-def band_values(lines, bands, tolerance=45.0):
-    """Numbers of a line by nearest named band (name, centre x)."""
-    numbers = line_numbers(lines, "band")
+def band_values(lines, bands, tolerance=45.0, skip=r"^20\d{2}$"):
+    """Numbers of a line by nearest named band (name, centre x).
+
+    All fragments with a digit in one band are one number, read from left to right;
+    texts that match ``skip`` (the year) are none.
+    """
+    pieces = lines.select(*PAGE, "line_top", F.inline("words")).withColumn("text", F.trim("text"))
+    pieces = pieces.where(F.col("text").rlike(r"\d") & ~F.col("text").rlike(skip))
     gaps = F.array(*[F.struct(F.abs(F.col("x0") - x).alias("gap"), F.lit(n).alias("band"))
                      for n, x in bands])
     best = F.array_min(gaps)
     # Ties go to the first listed band through its position in the list.
-    return numbers.withColumn("best", best).where(F.col("best.gap") <= tolerance).groupBy(
+    parts = pieces.withColumn("best", best).where(F.col("best.gap") <= tolerance).groupBy(
         *PAGE, "line_top", F.col("best.band").alias("band")).agg(
-        F.min_by("value", "x0").alias("value"))
+        F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    return parts.select(*PAGE, "line_top", "band", parse_money(text, "band").alias("value")).where(
+        F.col("value").isNotNull())
 
 
 def stacked_blocks(lines, blocks, years, starts="FY 20", band=340):
@@ -547,10 +564,10 @@ def account_lines(lines, account=r"^(\d{3})-", left=60):
     """Star lines and account lines of a worksheet, ready for the star tree."""
     first = F.element_at("words", 1)
     starred = first["text"].rlike(r"^\*{1,3}$") & (first["x0"] <= left)
-    values = F.filter(F.transform(F.slice("words", 2, 1000), lambda w: F.struct(
+    values = F.filter(F.transform(F.slice("words", F.lit(2), F.size("words")), lambda w: F.struct(
         w["x1"].alias("x1"), parse_money(w["text"], "credit").alias("v"))),
         lambda s: s["v"].isNotNull())
-    plain = F.filter(F.slice("words", 2, 1000),
+    plain = F.filter(F.slice("words", F.lit(2), F.size("words")),
                      lambda w: parse_money(w["text"], "credit").isNull())
     fund = F.nullif(F.regexp_extract("line", account, 1), F.lit(""))
     out = lines.select(

@@ -219,3 +219,26 @@ def test_objective_cap(spark):
                                "t string")
     got = [r[0] for r in df.select(N.normalize_objective(F.col("t"), 15)).collect()]
     assert got == ["First point.", "no end at all h…"]
+
+
+def test_long_texts_and_lines_are_whole(spark):
+    long = "First. " + "word " * 1200 + "end"
+    df = spark.createDataFrame([(long,)], "t string")
+    assert df.select(N.normalize_objective(F.col("t"))).first()[0] == long
+    tall = [(1, 12000, [(5, 9, "a")]), (2, 2000, [(5, 9, "b")])]
+    numbers = [r.line_no for r in C.word_lines(words(spark, tall), "round").orderBy("page").collect()]
+    assert numbers[0] < numbers[1]
+    wide = [(1, 10, [(10, 20, "***")] + [(30 + i, 31 + i, f"w{i}") for i in range(1500)]
+             + [(9000, 9010, "77")])]
+    row = C.account_lines(C.word_lines(words(spark, wide), "round")).first()
+    assert (row.stars, float(row.amount)) == (3, 77.0) and row.name.endswith("w1499")
+
+
+def test_band_fragments_and_first_schedule_only(spark):
+    split = [(1, 10, [(100, 110, "1,2"), (112, 120, "34"), (95, 99, "2027"), (300, 310, "(5)")])]
+    values = C.band_values(C.word_lines(words(spark, split), "round"), [("a", 105.0), ("b", 300.0)])
+    assert {(r.band, float(r.value)) for r in values.collect()} == {("a", 1234.0), ("b", -5.0)}
+    text = ["Department", "Health 1 2 3 4", "Total expenditures 1 2 3 4", "Department", "Health 9 9 9 9",
+            "Total expenditures"]
+    lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "doc_id string, line_no long, line string")
+    assert [float(r.original) for r in C.schedule_rows(lines).collect()] == [1000.0]
