@@ -153,9 +153,11 @@ def fund_sections(spark, d):
         F.struct((F.col("i") * 2 + 11).cast("long").alias("line_no"),
                  F.concat(F.when(F.col("i") % 2 == 0, F.concat(named, F.lit(" "))).otherwise(""),
                           code, amounts).alias("line")))))
-    heads = rows.select("doc_id", "k").distinct().select(
-        "doc_id", F.lit(1).cast("long").alias("line_no"),
-        F.when(F.col("k") % 2 == 0, "HIGHWAY FUND").otherwise("SEWER FUND").alias("line"))
+    heads = rows.select("doc_id", "k").distinct().select("doc_id", F.inline(F.array(
+        F.struct(F.lit(1).cast("long").alias("line_no"),
+                 F.when(F.col("k") % 2 == 0, "OLD WORKS").otherwise("SEWER AND \u2018WATER\u2019,").alias("line")),
+        F.struct(F.lit(2).cast("long").alias("line_no"),
+                 F.when(F.col("k") % 2 == 0, "HIGHWAY FUND").otherwise("RESOURCES FUND").alias("line")))))
     return C.fund_section_rows(body.unionByName(heads), [("HIGHWAY", "Highway Fund"),
                                                          ("SEWER", "Sewer Fund")])
 

@@ -283,7 +283,8 @@ def read_pairs(classified):
         "amount2": _digits(F.col("pair.amount2")), "fund2": fund2, "notes": F.col("pair.note")})
     return values.select(
         "doc_id", "line_no", "kind", "program_id", "program_name", "category", "department_code",
-        "section", "amount1", "fund1", "amount2", "fund2", "notes")
+        "section", "amount1", "fund1", "amount2", "fund2", "notes",
+        *[c for c in ("perm1", "perm2", "temp1", "temp2") if c in classified.columns])
 
 
 def carry_positions(classified):
@@ -440,10 +441,10 @@ def read_amendments(classified, originals, fy1, fy2):
 
 def extract_allocations(lines, fy1, fy2):
     """Allocation rows of bill lines: classify, pair, position, amend, name."""
-    classified = cut_lineage(carry_positions(classify_lines(lines)))
-    pending = classified.where(F.col("kind").isin(PAIR_KINDS)).select(
-        "doc_id", "line_no", "perm1", "perm2", "temp1", "temp2")
-    pairs = read_pairs(classified).join(pending, ["doc_id", "line_no"])
+    placed = carry_positions(classify_lines(lines))
+    # only lines with amounts are written; what they need from others is carried to them
+    classified = cut_lineage(placed.where(F.col("kind").isin([*PAIR_KINDS, *AMENDMENT_KINDS])))
+    pairs = read_pairs(classified)
     originals = cut_lineage(explode_years(pairs, fy1, fy2).drop("kind"))
     amendments = cut_lineage(read_amendments(classified, originals, fy1, fy2))
     amended = apply_amendments(originals, amendments)

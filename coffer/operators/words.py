@@ -322,22 +322,32 @@ _LAST_AMOUNT = r"(\(?[\d,]*\d[\d,]*\)?)"
 def fund_section_rows(lines, funds, code=r"\b([A-Z]{1,3}-?\d{2,4}[A-Z0-9-]*|NEW)\b"):
     """Project rows under capital fund headers; the last amount is the value.
 
-    ``funds`` lists (keyword, name) pairs. A name missing before the project
-    code is the previous line.
+    ``funds`` lists (keyword, name) pairs. A fund header may be wrapped, its second
+    line being the one that says FUND, and may be repeated as continued. A name
+    missing before the project code is the previous line.
     """
     text = F.trim("line")
     shown = lines.where(text != "").withColumn("text", text)
-    header = F.col("text").rlike(r"^[A-Z][A-Z .,&'()/-]*$")
+    header = F.col("text").rlike(r"^[A-Z][A-Z .,&'\u2018\u2019()/-]*$")
     total = F.col("text").rlike(r"^(SUB)?TOTAL|Appropriation|Ordinance")
-    name = F.lit(None).cast("string")
-    for keyword, label in reversed(funds):
-        name = F.when(F.upper("text").contains(keyword), F.lit(label)).otherwise(name)
-    fund = F.when(header & F.col("text").contains("FUND"), name)
-    # Only header and total lines can lend their text to a nameless project row.
+
+    def named(column):
+        name = F.lit(None).cast("string")
+        for keyword, label in reversed(funds):
+            name = F.when(F.upper(column).contains(keyword), F.lit(label)).otherwise(name)
+        return name
+
+    # Only header and total lines can lend their text to a wrapped header or a nameless row.
+    placed = carry_forward(shown, ["doc_id"], "line_no",
+                           {"prev": F.when(header | total, F.struct("text"))}, inclusive=False)
+    above = F.coalesce("prev.text", F.lit(""))
+    says = F.col("text").contains("FUND")
+    wrapped = F.when(says & ~above.contains("FUND"), F.concat_ws(" ", above, "text"))
+    fund = F.when(header & (says | F.lower("text").contains("(cont")),
+                  F.coalesce(named(F.col("text")), named(wrapped)))
     carried = carry_forward(
-        shown.withColumn("own_fund", fund), ["doc_id"], "line_no",
-        {"fund": F.when(F.col("own_fund").isNotNull(), F.struct("own_fund")),
-         "prev": F.when(header | total, F.struct("text"))}, inclusive=False)
+        placed.withColumn("own_fund", fund), ["doc_id"], "line_no",
+        {"fund": F.when(F.col("own_fund").isNotNull(), F.struct("own_fund"))}, inclusive=False)
     amounts = F.regexp_extract_all("text", F.lit(_LAST_AMOUNT), F.lit(1))
     last = F.regexp_replace(F.regexp_replace(
         F.try_element_at(amounts, F.lit(-1)), r"\(", "-"), r"[,)]", "").try_cast(MONEY)
