@@ -37,6 +37,15 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df, column, buckets):
+    """As :func:`materialize`, dealt into ``buckets`` by a column: later joins and groups on it
+    read the rows in place and shuffle only the other side."""
+    spark, name = df.sparkSession, f"llm_{os.getpid()}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def small_batches(spark, rows=500):
     """Python tasks get batches of at most ``rows`` texts, whatever the texts' length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

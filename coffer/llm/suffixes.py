@@ -15,9 +15,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, INVERSE, _powers, gram_hashes, materialize, mix, sliding_min, small_batches
+from .common import BASE, BYTE_VALUES, INVERSE, _powers, gram_hashes, materialize_bucketed, mix, sliding_min, small_batches
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 GRAM = 26
 
 
@@ -281,10 +281,14 @@ def repeated_bytes(docs, length=50, chunk_bytes=CHUNK_BYTES, hot_chunks=4096, id
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    chunks = materialize(pack_chunks(base.where("id IS NOT NULL"), chunk_bytes))
-    small_batches(spark, 1)
-    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    known = base.where("id IS NOT NULL")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(16, total >> 24), 16384))
+    # a few chunks a bucket, and no fewer buckets than other shuffles have, so that the texts
+    # stay where they are in both joins
+    dealt = max(total // (4 * chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = materialize_bucketed(pack_chunks(known, chunk_bytes), "chunk", int(min(dealt, 65536)))
+    small_batches(spark, 1)
 
     def keys(batches):
         for pdf in batches:
@@ -337,8 +341,7 @@ def repeated_bytes(docs, length=50, chunk_bytes=CHUNK_BYTES, hot_chunks=4096, id
 
     texts = chunks.select("chunk", "ids", "sizes", "texts")
     found = (texts.join(per_chunk, "chunk").mapInPandas(
-        strings, "bucket int, chunk long, key binary, content binary, first binary, last binary, "
-                 "sizes binary, raw binary").groupBy("bucket").applyInPandas(
+        strings, "bucket int, chunk long, n int, packed binary").groupBy("bucket").applyInPandas(
         classes, "chunk long, content binary, at binary, n binary, low binary, single binary"))
     hits = found.groupBy("chunk").agg(F.collect_list(F.struct("content", "at", "n", "low", "single")).alias("hits"))
 
@@ -356,7 +359,9 @@ def repeated_bytes(docs, length=50, chunk_bytes=CHUNK_BYTES, hot_chunks=4096, id
     return out.union(whole).withColumnRenamed("id", id_col)
 
 
-_COLUMNS = ["bucket", "chunk", "key", "content", "first", "last", "sizes", "raw"]
+#: what a packed string has, one array after the other, and then its bytes
+_FIELDS = [("key", "<u4"), ("content", "<u8"), ("first", "<i8"), ("last", "<i8"), ("sizes", "<u2"),
+           ("single", "?")]
 
 
 def _chunk_strings(chunk, c, shared, buckets, length):
@@ -385,6 +390,7 @@ def _chunk_strings(chunk, c, shared, buckets, length):
     c.start, c.end = start, end
     content = c.contents(slice(None))
     key[len(which):] = content[len(which):]
+    single = np.arange(len(key)) >= len(which)
     bucket, _ = _split(key, buckets)
     order = np.lexsort((doc, content))
     x = content[order]
@@ -395,22 +401,28 @@ def _chunk_strings(chunk, c, shared, buckets, length):
     at = order[first]
     raw = c.raw.tobytes()
     rows = []
-    for b, (k, i, lo, hi, s, e) in _pack_rows(bucket[at], np.argsort(bucket[at], kind="stable"), key[at],
-                                              content[at], low, high, start[at], end[at] + length - 1):
-        rows.append((b, chunk, k.tobytes(), i.tobytes(), lo.astype("<i8").tobytes(), hi.astype("<i8").tobytes(),
-                     (e - s).astype("<u2").tobytes(), b"".join([raw[p:q] for p, q in zip(s.tolist(), e.tolist())])))
-    return pd.DataFrame(rows, columns=_COLUMNS)
+    # within a bucket half of a key tells keys apart; a clash only puts two keys side by side
+    columns = (key[at], content[at], low, high, end[at] + length - 1 - start[at], single[at], start[at])
+    for b, (*fields, s) in _pack_rows(bucket[at], np.argsort(bucket[at], kind="stable"), *columns):
+        arrays = [x.astype(kind).tobytes() for x, (_, kind) in zip(fields, _FIELDS)]
+        texts = [raw[p:p + q] for p, q in zip(s.tolist(), fields[4].tolist())]
+        rows.append((b, chunk, len(s), zstandard.compress(b"".join(arrays + texts), 3)))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "n", "packed"])
 
 
 def _bucket_classes(pdf, length):
     """For every string of a bucket, the lowest document of each of its windows, in runs."""
-    take = lambda name, kind: np.concatenate([np.frombuffer(v, kind) for v in pdf[name]])
-    key, content = take("key", "<u8"), take("content", "<u8")
-    first, last = take("first", "<i8"), take("last", "<i8")
-    sizes = take("sizes", "<u2").astype(np.int64)
-    n_of = [len(v) // 8 for v in pdf["key"]]
-    chunk = np.repeat(pdf["chunk"].to_numpy(), n_of)
-    raw = b"".join(pdf["raw"])
+    found, texts = {name: [] for name, _ in _FIELDS}, []
+    for n, packed in zip(pdf["n"], pdf["packed"]):
+        data, at = zstandard.decompress(packed), 0
+        for name, kind in _FIELDS:
+            found[name].append(np.frombuffer(data, kind, n, at))
+            at += found[name][-1].nbytes
+        texts.append(data[at:])
+    key, content, first, last, sizes, single = (np.concatenate(found[name]) for name, _ in _FIELDS)
+    key, sizes = key.astype(np.uint64), sizes.astype(np.int64)
+    chunk = np.repeat(pdf["chunk"].to_numpy(), pdf["n"].to_numpy())
+    raw = b"".join(texts)
     ends = np.cumsum(sizes)
     # equal strings of several chunks once, with their lowest document
     order = np.lexsort((first, content, key))
@@ -447,7 +459,7 @@ def _bucket_classes(pdf, length):
     for c, (i, w) in _pack_rows(chunk[mine], np.argsort(chunk[mine], kind="stable"), mine, which):
         out.append((c, content[i].tobytes(), (run[w] - place[run_string[w]]).astype("<u2").tobytes(),
                     run_size[w].astype("<u2").tobytes(), low[run[w]].astype("<i8").tobytes(),
-                    (key[i] == content[i]).tobytes()))
+                    single[i].tobytes()))
     return pd.DataFrame(out, columns=["chunk", "content", "at", "n", "low", "single"])
 
 
