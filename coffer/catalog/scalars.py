@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..functions.text import PROJECT_ABBREVIATIONS
+from ..functions.text import PROJECT_ABBREVIATIONS, SMALL_WORDS
 from ..plans.testdata import allocations, table
 from ..schema import FUND_NAMES
 from .base import query, with_alloc
@@ -82,7 +82,23 @@ def title(spark, d):
     return table(spark, d, "part").select("p_partkey", X.title_small_words(name).alias("title"))
 
 
-@query("pretty_names")
+_SMALL = "', '".join(SMALL_WORDS)
+
+
+@query("pretty_names", rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r\x{{2013}}\x{{2014}}-]+|[ \t\n\x0b\f\r\x{{2013}}\x{{2014}}-]') AS words,
+  regexp_extract_all(lower(text), '[a-z]+|[^a-z]+') AS runs FROM documents),
+u AS (SELECT doc_id, unnest(words) AS t, unnest(range(len(words))) AS i FROM w),
+p AS (SELECT doc_id, string_agg(CASE WHEN regexp_full_match(t, '\([A-Z]+\)') THEN t
+    WHEN regexp_full_match(t, '(?i)[IVX]{{1,4}}') THEN upper(t)
+    WHEN i > 0 AND lower(t) IN ('{_SMALL}') THEN lower(t)
+    ELSE CASE substr(t, 1, 1) WHEN 'ß' THEN 'SS' ELSE upper(substr(t, 1, 1)) END || lower(substr(t, 2)) END,
+    '' ORDER BY i) AS pretty FROM u GROUP BY 1),
+v AS (SELECT doc_id, unnest(runs) AS t, unnest(range(len(runs))) AS i FROM w),
+q AS (SELECT doc_id, regexp_replace(string_agg(CASE substr(t, 1, 1) WHEN 'ß' THEN 'SS'
+    ELSE upper(substr(t, 1, 1)) END || substr(t, 2), '' ORDER BY i), chr(39) || 'S\b', chr(39) || 's', 'g') AS possessive
+  FROM v GROUP BY 1)
+SELECT doc_id, pretty, possessive FROM p JOIN q USING (doc_id)""")
 def pretty_names(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", X.pretty_name(F.col("text")).alias("pretty"),
@@ -208,7 +224,31 @@ def currency(spark, d):
         *[X.currency_label(F.col("a"), s).alias(s) for s in ("analysis", "chart", "brief", "words")])
 
 
-@query("currency_more")
+def _half_even(unit):
+    """n / unit as a whole number, ties to the even one."""
+    return (f"(n // {unit} + CASE WHEN n % {unit} * 2 > {unit} OR (n % {unit} * 2 = {unit} "
+            f"AND n // {unit} % 2 = 1) THEN 1 ELSE 0 END)")
+
+
+def _digits(count, digits):
+    return (f"(CAST({count} // {10**digits} AS VARCHAR) || '.' || "
+            f"lpad(CAST({count} % {10**digits} AS VARCHAR), {digits}, '0'))")
+
+
+_HUNDREDTHS, _TENTHS, _MILLIONS = _half_even(10**4), _half_even(10**5), _half_even(10**6)
+
+
+@query("currency_more", with_alloc(f"""
+, k AS (SELECT line_number, part_key, supplier_key, CAST(amount * 1000 AS BIGINT) AS n FROM alloc)
+SELECT line_number, part_key, supplier_key,
+  '$' || CASE WHEN n % 1000000 = 0 THEN CAST(n // 1000000 AS VARCHAR)
+    WHEN n % 100000 = 0 THEN {_digits(_TENTHS, 1)} ELSE {_digits(_HUNDREDTHS, 2)} END || 'M' AS report,
+  '$' || CASE WHEN n >= 100000000 THEN CAST({_MILLIONS} AS VARCHAR)
+    WHEN n >= 10000000 THEN rtrim(rtrim({_digits(_TENTHS, 1)}, '0'), '.')
+    ELSE rtrim(rtrim({_digits(_HUNDREDTHS, 2)}, '0'), '.') END || 'M' AS short,
+  '+$' || CASE WHEN n >= 1000000 THEN {_digits(_HUNDREDTHS, 2)} || 'M'
+    ELSE CAST((n + 500) // 1000 AS VARCHAR) || 'K' END AS signed
+FROM k"""))
 def currency_more(spark, d):
     rows = allocations(spark, d, *GRAIN, "amount")
     big = F.col("amount") * 1000

@@ -161,7 +161,10 @@ def cash(spark, d):
     return S.cash_roll(net, ["fund_type"], F.lit(1_000_000), F.lit(-250_000))
 
 
-@query("series_nested")
+@query("series_nested", with_alloc(_YEARLY.format(keys="department_code") + f"""
+, r AS (SELECT department_code, fiscal_year, {_pair('tot', 'total')} FROM t)
+SELECT department_code, row_number() OVER (PARTITION BY department_code ORDER BY fiscal_year) - 1 AS place,
+  fiscal_year, total_nominal AS nominal, total_real AS real FROM r"""))
 def series_nested(spark, d):
     series = S.department_series(
         allocations(spark, d, "department_code", "fiscal_year", "section", "amount"),
@@ -169,7 +172,9 @@ def series_nested(spark, d):
     nested = S.nest_series(series.select(
         "department_code", "fiscal_year", F.col("total_nominal").cast("double").alias("nominal"),
         F.col("total_real").cast("double").alias("real")), "department_code", ["nominal", "real"])
-    return nested.select("department_code", F.to_json("series").alias("series"))
+    # the nested rows in their order, one row each so that they can be compared
+    return nested.select("department_code", F.posexplode("series").alias("place", "year")).select(
+        "department_code", F.col("place").cast("long").alias("place"), "year.*")
 
 
 # --- registry ----------------------------------------------------------------

@@ -451,7 +451,8 @@ def project_sheet(lines, opens, closes, row, funds, name_mark=r"CBS-\d+", footer
     ahead = carry_forward(
         flipped, ["doc_id"], "__back", {"next_row": F.when(is_row, F.struct("line_no"))}).drop(
         "__back")
-    pieces = ahead.where(fragment).groupBy(
+    # fragments after the last row belong to none
+    pieces = ahead.where(fragment & F.col("next_row.line_no").isNotNull()).groupBy(
         "doc_id", F.col("next_row.line_no").alias("line_no")).agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"),
                                                  text.alias("t")))), lambda s: s["t"]),

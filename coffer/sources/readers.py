@@ -30,10 +30,13 @@ def read_lines(spark, path):
         decode_bytes(F.col("content")).alias("text")))
 
 
-def read_allocations(spark, path):
-    """Allocation CSV with header; amounts and counts are coerced, not failed."""
+def read_allocations(spark, path, multi_line=False):
+    """Allocation CSV with header; amounts and counts are coerced, not failed.
+
+    Files are split between tasks unless ``multi_line`` asks for quoted line breaks.
+    """
     names = [f.name for f in ALLOCATION.fields if f.name != "metadata"]
-    raw = spark.read.option("header", True).option("multiLine", True).option(
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option(
         "escape", '"').csv(path)
     typed = raw.select(*[
         F.col(n).try_cast(ALLOCATION[n].dataType).alias(n) for n in names if n in raw.columns])
