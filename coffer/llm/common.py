@@ -47,8 +47,16 @@ def materialize_bucketed(df, column, buckets):
 
 
 def small_batches(spark, rows=500):
-    """Python tasks get batches of at most ``rows`` texts, whatever the texts' length."""
+    """Python tasks get batches of at most ``rows`` texts, whatever the texts' length.
+
+    Also lets workers on this machine import the package when the driver found it by a path
+    of its own; on a cluster it is shipped with the job.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 class Recent:

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import packed
 from .common import Recent, materialize, small_batches
 
 MAGIC = b"CMX1"
@@ -280,7 +281,7 @@ class _ByteEncoder:
         self.symbols = self.library.get_vocab_size()
 
     def _whole(self, text):
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text):
         if any(s in text for s in self.special):
