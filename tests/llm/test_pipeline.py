@@ -30,7 +30,7 @@ def test_pipeline(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, left, sf_dir)
         assert out.columns == columns, name
-        rows = out.localCheckpoint() if False else spark.createDataFrame(out.collect(), out.schema)
+        rows = spark.createDataFrame(out.collect(), out.schema)
         assert rows.count() <= left.count()
         left = rows
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
