@@ -2,24 +2,34 @@
 
 Prefix matches never compare all names of a program with each other: every
 name is expanded into its own prefixes of at least the minimum length, and a
-prefix meets an equal whole name in an equality join. The expansion grows with
+prefix meets an equal whole name in an equality join on its hash. The expansion grows with
 the length of a name, not with the size of its group.
 """
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import null_safe_join
 
 MIN_PREFIX = 25
 KEY = ["program_id", "fund_category", "name_key"]
 
 
-def _prefixes(names):
-    """All prefixes of at least the minimum length, shorter than the name."""
-    lengths = F.sequence(F.lit(MIN_PREFIX), F.length("name_key") - 1)
-    return names.where(F.length("name_key") > MIN_PREFIX).withColumn(
-        "__len", F.explode(lengths)).withColumn(
-        "__prefix", F.substring(F.col("name_key"), F.lit(1), F.col("__len")))
+def _prefixes_meet(longer, whole, long_name, short_name):
+    """Pairs in which a name of ``whole`` is a long prefix of a name of ``longer``.
+
+    A prefix travels as its hash and length; the names of a pair are compared at the end.
+    """
+    scope = ["program_id", "fund_category"]
+    cut = longer.where(F.length("name_key") > MIN_PREFIX).select(
+        *scope, F.col("name_key").alias(long_name),
+        F.explode(F.sequence(F.lit(MIN_PREFIX), F.length("name_key") - 1)).alias("__len"))
+    cut = cut.withColumn("__hash", F.xxhash64(F.substr(long_name, F.lit(1), F.col("__len"))))
+    ends = whole.where(F.length("name_key") >= MIN_PREFIX).select(
+        *scope, F.col("name_key").alias(short_name), F.length("name_key").alias("__len"),
+        F.xxhash64("name_key").alias("__hash"))
+    return cut.join(ends, [*scope, "__len", "__hash"]).where(
+        F.startswith(F.col(long_name), F.col(short_name)))
 
 
 def prefix_pairs(a, b):
@@ -28,15 +38,9 @@ def prefix_pairs(a, b):
     Both sides hold distinct (program, fund, name) keys; the result has the
     name of each side. Equal names are not listed.
     """
-    scope = ["program_id", "fund_category"]
-    whole_a = a.select(*scope, F.col("name_key").alias("name_a"))
-    whole_b = b.select(*scope, F.col("name_key").alias("name_b"))
-    b_in_a = _prefixes(a.select(*KEY)).select(
-        *scope, F.col("name_key").alias("name_a"), F.col("__prefix").alias("name_b"))
-    a_in_b = _prefixes(b.select(*KEY)).select(
-        *scope, F.col("name_key").alias("name_b"), F.col("__prefix").alias("name_a"))
-    return b_in_a.join(whole_b, [*scope, "name_b"]).select(*scope, "name_a", "name_b").unionByName(
-        a_in_b.join(whole_a, [*scope, "name_a"]).select(*scope, "name_a", "name_b"))
+    columns = ["program_id", "fund_category", "name_a", "name_b"]
+    return _prefixes_meet(a, b, "name_a", "name_b").select(*columns).unionByName(
+        _prefixes_meet(b, a, "name_b", "name_a").select(*columns))
 
 
 def request_totals(request, order="line_number"):
@@ -53,8 +57,9 @@ def match_projects(drafts, request, order="line_number"):
     whose name is a long prefix of the draft name or the reverse; else the
     largest amount of the same program and name under any fund.
     """
-    totals = request_totals(request, order)
-    names = drafts.select(*KEY).distinct()
+    # each listing is reduced to its keys once; the keys then serve every rule
+    totals = cut_lineage(request_totals(request, order))
+    names = cut_lineage(drafts.select(*KEY).distinct())
     exact = totals.select(*KEY, F.col("request_amount").alias("exact_amount"))
     unmatched = names.join(exact.select(*KEY), KEY, "left_anti")
     pairs = prefix_pairs(unmatched, totals)
@@ -110,8 +115,9 @@ def project_orphans(drafts, request, order="line_number"):
     prefix match of a draft without an exact match. Keys that are themselves a
     prefix match of a used key are covered too.
     """
-    totals = request_totals(request, order)
-    names = drafts.select(*KEY).distinct()
+    # each listing is reduced to its keys once; the keys then serve every rule
+    totals = cut_lineage(request_totals(request, order))
+    names = cut_lineage(drafts.select(*KEY).distinct())
     exact = names.join(totals.select(*KEY), KEY, "left_semi")
     pairs = prefix_pairs(names.join(totals.select(*KEY), KEY, "left_anti"), totals)
     ranked = pairs.join(
