@@ -26,7 +26,7 @@ def test_lines_and_encodings(spark, tmp_path):
 def test_allocation_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text(
         'program_id,amount,fiscal_year,program_name\nP1,"12.5",2026,"two\nlines"\nP2,abc,x,n\n')
-    rows = {r.program_id: r for r in readers.read_allocations(spark, str(tmp_path)).collect()}
+    rows = {r.program_id: r for r in readers.read_allocations(spark, str(tmp_path), multi_line=True).collect()}
     assert float(rows["P1"].amount) == 12.5 and rows["P1"].program_name == "two\nlines"
     assert rows["P2"].amount is None and rows["P2"].fiscal_year is None
     assert rows["P1"].positions is None
