@@ -247,9 +247,18 @@ _READ = {
 
 
 def _digits(text):
-    return F.coalesce(
-        F.nullif(F.regexp_replace(text, r"[^\d]", ""), F.lit("")).try_cast(MONEY),
-        F.lit(0).cast(MONEY))
+    """Amount of a matched group: 0 without digits, NULL if wider than an amount can be."""
+    digits = F.regexp_replace(text, r"[^\d]", "")
+    return F.when(digits == "", F.lit(0).cast(MONEY)).otherwise(digits.try_cast(MONEY))
+
+
+def unreadable_amounts(classified):
+    """Amount lines with a number too wide to be read, as findings; no amount is made of it."""
+    widest = MONEY.precision - MONEY.scale
+    numbers = F.regexp_extract_all("raw", F.lit(r"(\d[\d,]*)"), F.lit(1))
+    wide = F.filter(numbers, lambda n: F.length(F.replace(n, F.lit(","), F.lit(""))) > widest)
+    return classified.where(F.col("kind").isin([*PAIR_KINDS, *AMENDMENT_KINDS])).select(
+        "doc_id", "line_no", "kind", F.explode(wide).alias("number"))
 
 
 def read_pairs(classified):

@@ -171,3 +171,13 @@ def test_long_document_in_many_chunks(spark):
     rows = L.extract_allocations(lines, 2026, 2027).groupBy("fiscal_year").agg(
         F.count("*").alias("n"), F.sum("amount").cast("long").alias("v")).collect()
     assert {(r.fiscal_year, r.n, r.v) for r in rows} == {(2026, n, 10 * n), (2027, n, 30 * n)}
+
+
+def test_wide_amounts_are_findings(spark):
+    df = spark.createDataFrame(
+        [("d", 1, "bare_amendment", "[12,345,678,901,234,567A]"), ("d", 2, "bare_amendment", "[1,200A]"),
+         ("d", 3, "other", "99999999999999999999")], "doc_id string, line_no long, kind string, raw string")
+    found = L.unreadable_amounts(df).collect()
+    assert [(r.line_no, r.number) for r in found] == [(1, "12,345,678,901,234,567")]
+    amounts = [r[0] for r in df.orderBy("line_no").select(L._digits(F.col("raw"))).collect()]
+    assert amounts[0] is None and float(amounts[1]) == 1200.0 and amounts[2] is None
