@@ -283,7 +283,7 @@ def repeated_bytes(docs, length=50, chunk_bytes=CHUNK_BYTES, hot_chunks=4096, id
 
     known = base.where("id IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(16, total >> 24), 16384))
+    buckets = int(min(max(16, total >> 23), 16384))
     # a few chunks a bucket, and no fewer buckets than other shuffles have, so that the texts
     # stay where they are in both joins
     dealt = max(total // (4 * chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -463,7 +463,7 @@ def _bucket_classes(pdf, length):
     return pd.DataFrame(out, columns=["chunk", "content", "at", "n", "low", "single"])
 
 
-def _rounds(which, same_key, raw, begins, sizes, lead, length, batch=20000):
+def _rounds(which, same_key, raw, begins, sizes, lead, length, batch=6000):
     """Strings that can share a window with another of their key, whole keys together.
 
     A string none of whose windows has an equal hash elsewhere under the key needs no sorting.
