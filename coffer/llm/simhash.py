@@ -36,10 +36,12 @@ def fingerprint(raw, words=4):
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprints(text: pd.Series) -> pd.Series:
-    values = [fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in text]
-    return pd.Series(np.array(values, np.uint64).view(np.int64))
+def _fingerprints(words):
+    @F.pandas_udf(LongType())
+    def of(text: pd.Series) -> pd.Series:
+        values = [fingerprint((t or "").encode("utf-8", "surrogatepass"), words) for t in text]
+        return pd.Series(np.array(values, np.uint64).view(np.int64))
+    return of
 
 
 ALL_BITS = (1 << 64) - 1
@@ -183,11 +185,9 @@ def simhash_classes(docs, bits=4, words=4, id_col="doc_id", text_col="text"):
     counts as empty, empty texts share fingerprint zero; repeated rows and ids stay as they
     are; other columns are ignored; an empty table gives an empty result.
     """
-    if words != 4:
-        raise ValueError("fingerprints are taken over 4 words")
     small_batches(docs.sparkSession)
     marked = materialize(docs.select(F.col(id_col).alias("id"),
-                                     _fingerprints(F.col(text_col)).alias("fp")))
+                                     _fingerprints(words)(F.col(text_col)).alias("fp")))
     fps = materialize(marked.groupBy("fp").agg(F.min("id").alias("node")))
     linked = components(near_fingerprints(fps, bits))
     classes = materialize(fps.join(linked, "node", "left").select(
@@ -196,15 +196,3 @@ def simhash_classes(docs, bits=4, words=4, id_col="doc_id", text_col="text"):
     return marked.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id")
-
-
-def drop_near_copies(docs, bits=4, id_col="doc_id", text_col="text"):
-    """Keep the document with the smallest id of each class; all columns stay.
-
-    Rows without an id can't stand for a class and stay; rows that repeat an id go only if
-    none of them leads a class.
-    """
-    classes = simhash_classes(docs, bits, id_col=id_col, text_col=text_col)
-    gone = materialize(classes.groupBy(F.col(id_col).alias("gone_id")).agg(
-        F.bool_and(F.col(id_col) != F.col("component_id")).alias("gone")).where("gone").select("gone_id"))
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
