@@ -6,10 +6,12 @@ range), each chunk is handled in parallel, and only the per-chunk summaries,
 smaller by the chunk size, meet in a window over the key.
 """
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 CHUNK_ROWS = 65536
 
@@ -120,62 +122,116 @@ def with_neighbours(df, keys, order, columns, step=1):
     return df.join(before, [*keys, order], "left").join(after, [*keys, order], "left")
 
 
-def _value_buckets(df, keys, value, width):
-    """Distinct values with their counts, bucketed by value range."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bucket", F.floor(F.col(value) / F.lit(width)).cast("long"))
-    )
+def range_offsets(ranges, keys, levels, sums, descending=False):
+    """What precedes each range of its key, by nested ranges.
+
+    ``levels`` are columns from coarse to fine; ``sums`` the columns to add up.
+    Each window sees the ranges of one coarser range only, so its size is the
+    fan-out of the levels, whatever the number or the spread of the rows.
+    """
+    totals = [ranges]
+    for depth in range(len(levels) - 1, 0, -1):
+        totals.insert(0, totals[0].groupBy(*keys, *levels[:depth]).agg(
+            *[F.sum(s).alias(s) for s in sums]))
+    found = None
+    for depth, rows in enumerate(totals, 1):
+        outer, inner = list(levels[:depth - 1]), F.col(levels[depth - 1])
+        before = W.partitionBy(*keys, *outer).orderBy(
+            inner.desc() if descending else inner.asc()).rowsBetween(W.unboundedPreceding, -1)
+        here = rows.withColumns({
+            f"before_{s}": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums})
+        if found is not None:
+            above = found.select(*keys, *outer, *[
+                F.col(f"before_{s}").alias(f"__above_{s}") for s in sums])
+            here = null_safe_join(here, above, [*keys, *outer], "inner").withColumns({
+                f"before_{s}": F.col(f"before_{s}") + F.col(f"__above_{s}") for s in sums}).drop(
+                *[f"__above_{s}" for s in sums])
+        found = here
+    return found
+
+
+def nested_running_total(df, keys, levels, order, values):
+    """Inclusive running sums over rows ordered by nested ranges, then ``order``.
+
+    ``levels`` maps names to Columns from coarse to fine; a row's place is given
+    by all of them and, inside the finest, by ``order``. NULL keys are equal.
+    """
+    names = list(levels)
+    base = df.withColumns({**levels, **{f"__v_{n}": v for n, v in values.items()}})
+    ranges = base.groupBy(*keys, *names).agg(*[F.sum(f"__v_{n}").alias(n) for n in values])
+    before = range_offsets(ranges, keys, names, list(values)).drop(*values)
+    inside = W.partitionBy(*keys, *names).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return null_safe_join(base, before, [*keys, *names], "inner").select(
+        *df.columns,
+        *[(F.col(f"before_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0))).alias(n)
+          for n in values])
+
+
+FAN_DIGITS = 6
+
+
+def _value_levels(df, value, width):
+    """Nested value ranges: ``width`` at the finest, a million times wider at each step out.
+
+    A decimal type bounds how many steps there are, so every range has at most a
+    million ranges inside it, and the finest ``width`` / 0.01 amounts.
+    """
+    kind = df.schema[value].dataType
+    digits = kind.precision - kind.scale if isinstance(kind, DecimalType) else 3 * FAN_DIGITS
+    steps = max(1, -(-(digits - (len(str(width)) - 1)) // FAN_DIGITS))
+    return {f"__l{i}": F.floor(F.col(value) / F.lit(Decimal(width * 10 ** (FAN_DIGITS * (steps - 1 - i))))).cast(
+        "decimal(38,0)" if i == 0 and steps > 3 else "long") for i in range(steps)}
+
+
+def _value_counts(df, keys, value, width):
+    """Distinct values with their counts and their nested ranges."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("__n")).withColumns(_value_levels(df, value, width))
 
 
 def dense_rank_desc(df, keys, value, out, width=10_000):
     """Dense rank by descending value; rows with a NULL value get NULL.
 
-    Distinct values are ranked inside value ranges of ``width``; a range holds
-    at most ``width`` / 0.01 distinct amounts however large its group is.
+    Distinct values are ranked inside nested value ranges, so no window holds
+    more than a million of them, however large or spread out a group is.
     """
     keys = list(keys)
-    distinct = _value_buckets(df, keys, value, width).drop("__n")
-    sizes = distinct.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    above = (
-        W.partitionBy(*keys).orderBy(F.desc("__bucket")).rowsBetween(W.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        *keys, "__bucket", F.coalesce(F.sum("__size").over(above), F.lit(0)).alias("__offset")
-    )
-    inside = W.partitionBy(*keys, "__bucket").orderBy(F.desc(value))
-    ranked = null_safe_join(distinct, offsets, keys + ["__bucket"], "inner").select(
-        *keys, value, (F.col("__offset") + F.dense_rank().over(inside)).cast("long").alias(out)
+    levels = list(_value_levels(df, value, width))
+    distinct = _value_counts(df, keys, value, width).drop("__n")
+    sizes = distinct.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__size"))
+    offsets = range_offsets(sizes, keys, levels, ["__size"], descending=True).drop("__size")
+    inside = W.partitionBy(*keys, *levels).orderBy(F.desc(value))
+    ranked = null_safe_join(distinct, offsets, keys + levels, "inner").select(
+        *keys, value, (F.col("before___size") + F.dense_rank().over(inside)).cast("long").alias(out)
     )
     return null_safe_join(df, ranked, keys + [value])
 
 
 def exact_median(df, keys, value, out="median", width=10_000):
-    """Exact median per group from value counts, bucketed by value range.
+    """Exact median per group from value counts, through nested value ranges.
 
-    Two passes over the small bucket table find the ranges that hold the
-    middle ranks; only their distinct values are then put in order.
+    Only the values of the ranges that hold the middle ranks are put in order.
     """
     keys = list(keys)
-    counts = _value_buckets(df, keys, value, width)
-    buckets = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__size"))
-    up_to = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
+    levels = list(_value_levels(df, value, width))
+    counts = _value_counts(df, keys, value, width)
+    ranges = counts.groupBy(*keys, *levels).agg(F.sum("__n").alias("__size"))
+    offsets = range_offsets(ranges, keys, levels, ["__size"])
+    totals = ranges.groupBy(*keys).agg(F.sum("__size").alias("__total"))
+    joined = null_safe_join(offsets, totals, keys) if keys else offsets.withColumn(
+        "__total", ranges.agg(F.sum("__size").alias("__total")).scalar())
     placed = (
-        buckets.withColumn("__end", F.sum("__size").over(up_to))
-        .withColumn("__total", F.sum("__size").over(whole))
-        .withColumn("__start", F.col("__end") - F.col("__size"))
+        joined.withColumn("__start", F.col("before___size"))
         .withColumn("__low", F.floor((F.col("__total") + 1) / 2))
         .withColumn("__high", F.floor((F.col("__total") + 2) / 2))
-        .where((F.col("__start") < F.col("__high")) & (F.col("__end") >= F.col("__low")))
-        .select(*keys, "__bucket", "__start", "__low", "__high")
+        .where((F.col("__start") < F.col("__high"))
+               & (F.col("__start") + F.col("__size") >= F.col("__low")))
+        .select(*keys, *levels, "__start", "__low", "__high")
     )
     inside = (
-        W.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy(*keys, *levels).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )
-    ends = null_safe_join(counts, placed, keys + ["__bucket"], "inner").withColumn(
+    ends = null_safe_join(counts, placed, keys + levels, "inner").withColumn(
         "__last", F.col("__start") + F.sum("__n").over(inside))
     first = F.col("__last") - F.col("__n")
     holds_low = (first < F.col("__low")) & (F.col("__last") >= F.col("__low"))

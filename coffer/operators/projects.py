@@ -11,7 +11,7 @@ from ..functions import fund_from_text
 from ..schema import CAPITAL, CATEGORY_NAMES, DEPARTMENT_NAMES, MONEY, lookup
 from ..session import cut_lineage
 from .lines import mark_project_span, prepare_lines
-from .ordered import carry_forward, running_total, settle
+from .ordered import carry_forward, nested_running_total, running_total, settle
 
 # Line patterns inside the project list.
 PROJECT_PATTERNS = {
@@ -238,84 +238,66 @@ def _later_copies(projects, buckets):
         F.col("copies") > 1)
     later = keyed.join(first, [*BUCKET, "name_key"]).where(
         F.col("line_number") > F.col("first_line"))
-    return later.select(*BUCKET, "excess", "line_number", "amount", "first_line")
+    return later.select(*BUCKET, "excess", F.col("line_number").cast("long"), "amount",
+                        F.col("first_line").cast("long"))
 
 
-def _fold_small(copies):
-    """Greedy choice inside one short sorted list."""
-    lists = copies.groupBy(*BUCKET, "excess").agg(
-        F.array_sort(F.collect_list(F.struct("first_line", "line_number", "amount"))).alias("l"))
-    start = F.struct(F.col("excess").cast("decimal(28,2)").alias("left"),
-                     F.array().cast("array<bigint>").alias("dropped"))
+def _round_of_choices(copies, state):
+    """What one round of the greedy choice drops, and where each bucket goes on.
 
-    def step(acc, item):
-        fits = (acc["left"] > ROUNDING) & (item["amount"] <= acc["left"] + ROUNDING)
-        return F.struct(
-            F.when(fits, (acc["left"] - item["amount"]).cast("decimal(28,2)")).otherwise(
-                acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["dropped"], F.array(item["line_number"]))).otherwise(
-                acc["dropped"]).alias("dropped"))
-
-    return lists.withColumn("r", F.aggregate("l", start, step)).select(
-        *BUCKET, F.explode("r.dropped").alias("line_number"))
-
-
-def _fold_large(copies):
-    """The same greedy choice for long lists, as rounds of running totals.
+    Copies under half the excess that is left ("small") fit as long as the excess
+    has not halved; so a running total of the small ones tells every decision up
+    to the first copy that brings the excess under its half: a small one by the
+    total, or a large one that fits. That copy ends the round.
+    """
+    half = F.greatest(F.col("left") / 2, F.lit(ROUNDING + 0.01).cast("decimal(3,2)"))
+    live = copies.join(state, BUCKET).where(
+        (F.col("pos") > F.col("at")) & (F.col("amount") <= F.col("left") + ROUNDING)
+    ).withColumn("half", half).withColumn("small", F.col("amount") < F.col("half"))
+    totals = running_total(
+        live, BUCKET, "pos", {"run": F.when(F.col("small"), F.col("amount")).otherwise(0)})
+    rest = F.col("left") - F.col("run")
+    ends = F.when(F.col("small"), rest < F.col("half")).otherwise(F.col("amount") <= rest + ROUNDING)
+    totals = totals.withColumn("ends", ends)
+    stop = totals.groupBy(*BUCKET).agg(F.min(F.when(F.col("ends"), F.col("pos"))).alias("stop"))
+    return totals.join(stop, BUCKET).where(
+        F.when(F.col("small"), F.col("stop").isNull() | (F.col("pos") <= F.col("stop")))
+        .otherwise(F.col("pos") == F.col("stop"))).select(
+        *BUCKET, "line_number", "amount", "left", "stop")
+
+
+def copies_to_drop(projects, allocations):
+    """Later copies of a title that were not counted in the program total.
 
-    Each round drops the longest prefix that fits, skips the copy that does
-    not, and goes on after it with the excess that is left. Copies larger than
-    the remaining excess leave at the start of a round.
+    Titles are visited in first-seen order and their later copies by line; a
+    copy is dropped while it fits the excess that remains. All buckets take
+    their rounds together; a round at least halves the excess, so their number
+    is the logarithm of the largest excess, whatever the number of copies. The
+    copies of a bucket are numbered once, over nested ranges of lines.
     """
-    order_keys = [*BUCKET]
-    ranked = copies.withColumn(
-        "place", F.col("first_line") * F.lit(2**31) + F.col("line_number"))
-    state = ranked.select(*BUCKET, F.col("excess").alias("left")).distinct().withColumn(
-        "pos", F.lit(-1).cast("long"))
-    dropped = None
+    found = _later_copies(projects, excess_buckets(projects, allocations))
+    copies = cut_lineage(nested_running_total(
+        found, BUCKET,
+        {"__far": F.col("first_line").bitwiseAND(~0xFFFF), "__title": F.col("first_line"),
+         "__near": F.col("line_number").bitwiseAND(~0xFFFF)},
+        "line_number", {"pos": F.lit(1)}).drop("first_line"))
+    state = copies.groupBy(*BUCKET).agg(
+        F.max("excess").cast("decimal(28,2)").alias("left"), F.lit(0).cast("long").alias("at"))
+    copies, dropped = copies.drop("excess"), None
     while True:
-        live = ranked.join(state, BUCKET).where(
-            (F.col("place") > F.col("pos")) & (F.col("left") > ROUNDING)
-            & (F.col("amount") <= F.col("left") + ROUNDING))
-        totals = running_total(live, order_keys, "place", {"run": F.col("amount")},
-                               chunk_rows=2**40)
-        stops = (F.col("run") > F.col("left") + ROUNDING) | (
-            F.col("left") - (F.col("run") - F.col("amount")) <= ROUNDING)
-        limit = totals.groupBy(*BUCKET).agg(F.min(F.when(stops, F.col("place"))).alias("stop"))
-        taken = cut_lineage(totals.join(limit, BUCKET).where(
-            F.col("stop").isNull() | (F.col("place") < F.col("stop"))).select(
-            *BUCKET, "line_number", "amount", "place", "stop"))
+        taken = cut_lineage(_round_of_choices(copies, state))
         part = taken.select(*BUCKET, "line_number")
         dropped = part if dropped is None else dropped.unionByName(part)
-        used = taken.groupBy(*BUCKET).agg(
-            F.sum("amount").alias("used"), F.max("stop").alias("stop"))
-        state = cut_lineage(state.join(used, BUCKET).where(F.col("stop").isNotNull()).select(
-            *BUCKET, (F.col("left") - F.col("used")).cast("decimal(28,2)").alias("left"),
-            F.col("stop").alias("pos")))
+        state = taken.groupBy(*BUCKET).agg(
+            (F.max("left") - F.sum("amount")).cast("decimal(28,2)").alias("left"),
+            F.max("stop").alias("at")).where(F.col("at").isNotNull() & (F.col("left") > ROUNDING))
         if state.isEmpty():
             return dropped
 
 
-def copies_to_drop(projects, allocations, short_list=10_000):
-    """Later copies of a title that were not counted in the program total.
-
-    Titles are visited in first-seen order and their later copies by line; a
-    copy is dropped while it fits the excess that remains. Buckets with up to
-    ``short_list`` copies are folded as one list, longer ones in rounds.
-    """
-    copies = cut_lineage(_later_copies(projects, excess_buckets(projects, allocations)))
-    sizes = copies.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.where(F.col("n") <= short_list).drop("n")
-    large = sizes.where(F.col("n") > short_list).drop("n")
-    dropped = _fold_small(copies.join(small, BUCKET, "left_semi"))
-    if large.isEmpty():
-        return dropped
-    return dropped.unionByName(_fold_large(copies.join(large, BUCKET, "left_semi")))
-
-
-def reconcile_projects(projects, allocations, short_list=10_000):
+def reconcile_projects(projects, allocations):
     """Projects without the copies the program totals do not hold."""
-    drop = copies_to_drop(projects, allocations, short_list)
+    drop = copies_to_drop(projects, allocations)
     return projects.join(drop, [*BUCKET, "line_number"], "left_anti")
 
 

@@ -72,6 +72,30 @@ def test_rank_and_median(spark):
         assert r["median"] == pytest.approx(median(v for k, v in data if k == r.k))
 
 
+def test_rank_and_median_over_twelve_orders_of_magnitude(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["x", "y"]), rng.choice([-1, 1, 1]) * round(10 ** rng.uniform(-2, 12), 2))
+            for _ in range(400)]
+    for kind in ("decimal(18,2)", "decimal(38,2)"):
+        df = spark.createDataFrame(data, "k string, v double").withColumn("v", F.col("v").cast(kind))
+        for r in O.exact_median(df, ["k"], "v").collect():
+            assert r["median"] == pytest.approx(median(v for k, v in data if k == r.k))
+        whole = O.exact_median(df, [], "v").first()["median"]
+        assert whole == pytest.approx(median(v for _, v in data))
+        order = sorted({v for _, v in data}, reverse=True)
+        for r in O.dense_rank_desc(df, [], "v", "r").collect():
+            assert order[r.r - 1] == pytest.approx(float(r.v))
+
+
+def test_nested_running_total(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["x", None]), i, rng.randint(0, 9)) for i in rng.sample(range(10**6), 300)]
+    df = spark.createDataFrame(data, "k string, o long, v int").repartition(4)
+    levels = {"a": F.floor(F.col("o") / 100_000), "b": F.floor(F.col("o") / 1000)}
+    for r in O.nested_running_total(df, ["k"], levels, "o", {"t": F.col("v")}).collect():
+        assert r.t == sum(v for k, o, v in data if k == r.k and o <= r.o)
+
+
 def test_metrics_with_nulls_and_ties(spark):
     df = spark.createDataFrame(
         [("A", 60.0, 2.0), ("A", 40.0, None), ("B", 60.0, 0.0), ("B", None, 1.0)],

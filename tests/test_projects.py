@@ -76,7 +76,7 @@ def _greedy(copies, excess):
     return set(dropped)
 
 
-def test_reconcile_lists_and_rounds_agree(spark):
+def test_reconcile_equals_the_greedy_choice(spark):
     rng = random.Random(11)
     rows, want = [], set()
     for b in range(6):
@@ -100,13 +100,28 @@ def test_reconcile_lists_and_rounds_agree(spark):
         "amount", F.col("amount").cast("decimal(18,2)"))
     projects = df.where("line_number > 0")
     targets = df.where("line_number < 0").withColumn("section", F.lit("Capital Improvement"))
-    for limit in (10_000, 0):
-        got = P.copies_to_drop(projects, targets, short_list=limit).collect()
-        assert {(r.program_id, r.line_number) for r in got} == want
+    got = P.copies_to_drop(projects, targets).collect()
+    assert {(r.program_id, r.line_number) for r in got} == want
     kept = P.reconcile_projects(projects, targets)
     assert kept.count() == projects.count() - len(want)
 
 
+def test_reconcile_hundreds_of_thousands_of_copies(spark):
+    n = 200_000
+    amount = (F.col("id") * 7919 % 1000 + 1000).cast("long")
+    listed = spark.range(n).select(
+        F.lit("d").alias("doc_id"), F.lit("AGR001").alias("program_id"), F.lit("C").alias("fund_type"),
+        F.lit(2026).alias("fiscal_year"), F.lit("SAME TITLE").alias("project_name"),
+        (F.col("id") + 1).alias("line_number"), amount.cast("decimal(18,2)").alias("amount"))
+    amounts = [i * 7919 % 1000 + 1000 for i in range(n)]
+    excess = 1_234_567
+    target = listed.limit(1).withColumn("amount", F.lit(sum(amounts) - excess).cast("decimal(18,2)")).withColumn(
+        "section", F.lit("Capital Improvement"))
+    want = _greedy([(1, i + 1, a) for i, a in enumerate(amounts) if i], excess)
+    got = {r.line_number for r in P.copies_to_drop(listed, target).collect()}
+    assert got == want
+
+
 GRANTS = """SECTION 13. There is appropriated out of the general revenues of the State of Hawaii the \
 sum of $300,000 or so much there-of as may be necessary for fiscal year 2026-2027 to (LBR903)
 1. $200,000.00      808 CLEANUPS
