@@ -251,6 +251,26 @@ def reason_texts(spark, d):
     return N.adjustment_reasons(_pages(spark, d), "worksheet")
 
 
+@query("reason_items", _PAGES + """
+, x AS (SELECT program_id, 'SENATE' AS chamber, 'REDUCE FUNDS FOR ' || pr AS title,
+    min(page_no) AS pos FROM p GROUP BY ALL
+  UNION ALL SELECT program_id, 'HOUSE', 'ADD ' || st, min(page_no) FROM p GROUP BY ALL)
+SELECT program_id, chamber, title, row_number() OVER (PARTITION BY program_id, chamber ORDER BY pos) AS position
+FROM x""")
+def reason_items(spark, d):
+    return N.reason_items(_pages(spark, d), "worksheet")
+
+
+@query("message_items", _PAGES + """
+, t AS (SELECT program_id, 'title' AS kind, 'ADD ' || pr AS item, min(page_no) AS pos FROM p GROUP BY ALL
+  UNION ALL SELECT program_id, 'detail', 'ITEM ' || st || ' (FY27: ' || format('{:,}', v) || ') (FY2026: -' ||
+    format('{:,}', v) || ')', min(page_no) FROM p GROUP BY ALL)
+SELECT program_id, kind, item, row_number() OVER (PARTITION BY program_id, kind ORDER BY pos) AS position
+FROM t""")
+def message_items(spark, d):
+    return N.message_items(_pages(spark, d))
+
+
 @query("message_details", _PAGES + """
 , t AS (SELECT program_id, 'ADD ' || pr AS t, min(page_no) AS pos FROM p GROUP BY ALL),
 i AS (SELECT program_id, 'ITEM ' || st || ' (FY27: ' || format('{:,}', v) || ') (FY2026: -' ||

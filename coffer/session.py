@@ -28,6 +28,22 @@ def build_session(app="coffer", master=None, shuffle_partitions=None, progress=T
     return builder.getOrCreate()
 
 
+_OWN = {}
+
+
+def shared_folder(spark):
+    """The folder all executors see, by ``spark.checkpoint.dir``; a folder of our own only in a
+    local session that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if "dir" not in _OWN:
+        _OWN["dir"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"file://{_OWN['dir']}"
+
+
 def cut_lineage(df):
     """Write the rows to the session's shared checkpoint folder and read on from there.
 

@@ -1,18 +1,12 @@
 """File readers and the row-shaping that belongs to each feed."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clean_money, county_fund_category, department_slug
 from ..schema import ALLOCATION, MONEY, ONE_TIME, POSITIONS, ensure_columns
 
 
-def decode_bytes(content):
-    """UTF-8 text, or latin-1 where the bytes are not valid UTF-8."""
-    return F.when(
-        F.is_valid_utf8(content.cast("string")), content.cast("string")
-    ).otherwise(F.decode(content, "ISO-8859-1"))
-
-
 def text_lines(df, doc="doc_id", text="text"):
     """Numbered lines of whole texts: one line ending, blanks for hard spaces."""
     clean = F.replace(
@@ -24,10 +18,33 @@ def text_lines(df, doc="doc_id", text="text"):
 
 
 def read_lines(spark, path):
-    files = spark.read.format("binaryFile").load(path)
-    return text_lines(files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_id"),
-        decode_bytes(F.col("content")).alias("text")))
+    """Numbered lines of text files; a large file is read by many tasks.
+
+    A first pass counts the lines of every file block and checks their encoding; a
+    prefix sum over the blocks of a file gives each block its first number. A file
+    with any line that is not valid UTF-8 is read as latin-1 as a whole. A final line
+    break ends the last line; an empty file has no line.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"), F.col("value"))
+    blocks = raw.groupBy("__file", "__block").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"),
+        F.bool_and(F.is_valid_utf8("value")).alias("__valid"))
+    whole = W.partitionBy("__file")
+    before = whole.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    placed = blocks.withColumns({
+        "__before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+        "__valid": F.bool_and("__valid").over(whole)})
+    place = F.col("__id") - F.col("__first")
+    # both passes must see the same rows in a block
+    checked = F.when((place >= 0) & (place < F.col("__n")), F.col("__before") + place + 1).otherwise(
+        F.raise_error(F.lit("a file changed while its lines were numbered")).cast("long"))
+    text = F.when(F.col("__valid"), F.col("value")).otherwise(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return raw.join(placed, ["__file", "__block"]).select(
+        F.regexp_extract("__file", r"([^/]+)$", 1).alias("doc_id"), checked.alias("line_no"),
+        F.replace(text, F.lit("\u00a0"), F.lit(" ")).alias("line"))
 
 
 def read_allocations(spark, path, multi_line=False):

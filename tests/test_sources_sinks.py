@@ -12,7 +12,8 @@ from coffer.schema import ALLOCATION, ensure_columns
 from coffer.sinks import write_analysis, write_by_department, write_csv, write_hierarchy
 from coffer.sinks import write_json_records, write_yearly_csv
 from coffer.sources import markup, readers, registry
-from coffer.streaming.watch import partial_rollup, read_rollup, watch_allocations
+from coffer.streaming import watch
+from coffer.streaming.watch import partial_rollup, read_findings, read_rollup, watch_allocations
 
 
 def test_lines_and_encodings(spark, tmp_path):
@@ -23,6 +24,27 @@ def test_lines_and_encodings(spark, tmp_path):
                    ("b.txt", 1): "café"}
 
 
+def test_a_large_file_is_numbered_across_blocks(spark, tmp_path):
+    texts = {"a b.txt": "".join(f"line {i}" + ("\r\n" if i % 3 else "\n") for i in range(60_000)),
+             "c.txt": "x\ry\n\n z\u00a0w", "empty.txt": "",
+             "latin.txt": "".join(f"caf\xe9 {i}\n" for i in range(9000))}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode("latin-1" if name == "latin.txt" else "utf-8"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        lines = readers.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1
+        got = {}
+        for r in lines.collect():
+            got.setdefault(r.doc_id.replace("%20", " "), {})[r.line_no] = r.line
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, text in texts.items():
+        want = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u00a0", " ").split("\n")
+        want = want[:-1] if want[-1] == "" else want
+        assert got.get(name, {}) == dict(enumerate(want, 1))
+
+
 def test_allocation_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text(
         'program_id,amount,fiscal_year,program_name\nP1,"12.5",2026,"two\nlines"\nP2,abc,x,n\n')
@@ -125,6 +147,41 @@ def test_sinks(spark, sf_dir, tmp_path):
                                             {"program_id": "P1", "amount": 1}]
 
 
+def test_hierarchy_of_many_children(spark, tmp_path):
+    parents = spark.createDataFrame(
+        [("hot", 1.5), ("none", float("nan")), (None, 2.0)], "code string, total double")
+    children = spark.range(300_000).select(
+        F.lit("hot").alias("code"), (-F.col("id")).alias("rank"), F.concat(F.lit('q"'), "id").alias("name")
+    ).unionByName(spark.createDataFrame([(None, 1, "n"), ("orphan", 1, "o")], "code string, rank long, name string"))
+    write_hierarchy(parents, children, ["code"], ["name"], str(tmp_path / "h"))
+    got = {r.code: r for r in spark.read.json(str(tmp_path / "h")).collect()}
+    assert set(got) == {"hot", "none", None}
+    assert [p.name for p in got["hot"].programs] == [f'q"{i}' for i in reversed(range(300_000))]
+    assert got["none"].programs is None and got["none"].total is None
+    assert [p.name for p in got[None].programs] == ["n"]
+    twice = parents.unionByName(parents)
+    with pytest.raises(Exception, match="two parents share a key"):
+        write_hierarchy(twice, children, ["code"], ["name"], str(tmp_path / "t"))
+
+
+def test_many_small_batches_leave_few_files(spark, tmp_path):
+    state, width = str(tmp_path / "state"), 3
+    for b in range(10):
+        rows = ensure_columns(spark.createDataFrame(
+            [("D", "Dep", "P", "Operating", "A", 2026, 10, b)],
+            "department_code string, department_name string, program_id string, section string, "
+            "fund_type string, fiscal_year int, amount int, line_number long"), ALLOCATION)
+        for _ in range(2 if b in (4, 8) else 1):  # a repeated batch changes nothing
+            watch._refresh_rollup(rows, b, state)
+            watch._refresh_findings(rows, b, state, width)
+    got = read_rollup(spark, state)
+    assert [float(r.operating_budget) for r in got.collect()] == [100.0]
+    assert len(got.inputFiles()) <= 2
+    found = read_findings(spark, state, width)
+    assert found.where("error = 'missing program_name'").count() == 10
+    assert len(found.inputFiles()) <= 3
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     rows = ensure_columns(
         allocations(spark, sf_dir, "department_code", "department_name", "program_id", "section",
@@ -138,5 +195,5 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     stream = {r.department_code: (r.operating_budget, r.capital_budget, r.positions)
               for r in read_rollup(spark, state).collect()}
     assert stream == batch
-    assert spark.read.parquet(f"{state}/findings").where(
+    assert read_findings(spark, state).where(
         "error = 'missing program_name'").count() == rows.count()
