@@ -275,6 +275,18 @@ def large_dups(spark, d):
         "program_id", "fiscal_year", "section", "amount").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("repeat_findings", with_alloc("""
+SELECT program_id, fiscal_year, section, CAST(floor(amount / 1000) AS DOUBLE) AS amount,
+  min(line_number) AS kept_line, count(*) - 1 AS removed
+FROM alloc WHERE floor(amount / 1000) > 50 GROUP BY program_id, fiscal_year, section, floor(amount / 1000)
+HAVING count(*) > 1"""))
+def repeat_findings(spark, d):
+    rows = allocations(spark, d, "program_id", "fiscal_year", "section", "fund_type",
+                       "line_number", "amount")
+    coarse = rows.withColumn("amount", F.floor(F.col("amount") / 1000).cast("decimal(18,2)"))
+    return L.removed_repeats(coarse, scope=(), threshold=50)
+
+
 @query("grants", _CELLS + """
 , g AS (SELECT doc_id, fy1, k, s, code, pid, sum(extra1) AS v FROM cell GROUP BY ALL)
 SELECT doc_id, 2000000 + k * 1000 AS block_line, 2000000 + k * 1000 + s * 10 AS line_number,

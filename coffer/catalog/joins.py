@@ -491,6 +491,18 @@ def transfers(spark, d):
     return C.transfer_directions(C.split_programs(_staged(spark, d)))
 
 
+@query("transfer_flows", with_alloc(_SPLIT + """
+, m AS (SELECT program_id, department_code, delta < 0 AS gives, abs(delta) AS size,
+  sum(abs(delta)) OVER (PARTITION BY program_id, delta < 0 ORDER BY department_code) AS upto
+  FROM sr WHERE delta <> 0)
+SELECT a.program_id, a.department_code AS giver, b.department_code AS taker,
+  round(least(a.upto, b.upto) - greatest(a.upto - a.size, b.upto - b.size), 2) AS moved
+FROM m a JOIN m b ON a.program_id = b.program_id AND a.gives AND NOT b.gives
+  AND round(least(a.upto, b.upto) - greatest(a.upto - a.size, b.upto - b.size), 2) > 0"""))
+def transfer_flows(spark, d):
+    return C.transfer_flows(C.split_programs(_staged(spark, d)))
+
+
 _AUGMENT = _STAGED + """
 , ow AS (SELECT department_code, program_id, section, sum(d1) AS d1, sum(d2) AS d2
   FROM st GROUP BY ALL),

@@ -255,7 +255,7 @@ def reason_texts(spark, d):
 , x AS (SELECT program_id, 'SENATE' AS chamber, 'REDUCE FUNDS FOR ' || pr AS title,
     min(page_no) AS pos FROM p GROUP BY ALL
   UNION ALL SELECT program_id, 'HOUSE', 'ADD ' || st, min(page_no) FROM p GROUP BY ALL)
-SELECT program_id, chamber, title, row_number() OVER (PARTITION BY program_id, chamber ORDER BY pos) AS position
+SELECT program_id, chamber, title || '.' AS title, row_number() OVER (PARTITION BY program_id, chamber ORDER BY pos) AS position
 FROM x""")
 def reason_items(spark, d):
     return N.reason_items(_pages(spark, d), "worksheet")

@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import is_close
@@ -333,6 +334,29 @@ def transfer_directions(split, levels=(), threshold=100_000):
                         direction.alias("direction"))
 
 
+def transfer_flows(split, levels=()):
+    """What moved between the departments of a shared program, as amounts that add up.
+
+    The reductions of a program fill one axis, its increases another, both by department;
+    each stretch where a reduction and an increase overlap is a flow. A program has fewer
+    flows than departments, every reduction is used up as far as there are increases to
+    take it, and departments that stay as they are have none.
+    """
+    keys = ["program_id", *levels]
+    moved = split.where(F.col("delta") != 0).withColumn("gives", F.col("delta") < 0)
+    along = W.partitionBy(*keys, "gives").orderBy("department_code").rowsBetween(W.unboundedPreceding, 0)
+    ends = moved.withColumn("end", F.sum(F.abs("delta")).over(along)).groupBy(*keys, "end").agg(
+        F.max(F.when(F.col("gives"), F.col("department_code"))).alias("giver"),
+        F.max(F.when(~F.col("gives"), F.col("department_code"))).alias("taker"))
+    by_end = W.partitionBy(*keys).orderBy("end")
+    ahead = by_end.rowsBetween(0, W.unboundedFollowing)
+    return ends.select(
+        *keys, F.first("giver", ignorenulls=True).over(ahead).alias("giver"),
+        F.first("taker", ignorenulls=True).over(ahead).alias("taker"),
+        (F.col("end") - F.coalesce(F.lag("end").over(by_end), F.lit(0))).alias("moved"),
+    ).where(F.col("giver").isNotNull() & F.col("taker").isNotNull())
+
+
 def augment_split(df, d1="d1", d2="d2"):
     """Program rows per department with the full program total beside them.
 

@@ -448,11 +448,19 @@ def read_amendments(classified, originals, fy1, fy2):
     return out[0].unionByName(out[1])
 
 
+def amount_lines(lines):
+    """Bill lines with amounts, with all they need from other lines, written once."""
+    placed = carry_positions(classify_lines(lines))
+    return cut_lineage(placed.where(F.col("kind").isin([*PAIR_KINDS, *AMENDMENT_KINDS])))
+
+
 def extract_allocations(lines, fy1, fy2):
     """Allocation rows of bill lines: classify, pair, position, amend, name."""
-    placed = carry_positions(classify_lines(lines))
-    # only lines with amounts are written; what they need from others is carried to them
-    classified = cut_lineage(placed.where(F.col("kind").isin([*PAIR_KINDS, *AMENDMENT_KINDS])))
+    return allocations_of(amount_lines(lines), fy1, fy2)
+
+
+def allocations_of(classified, fy1, fy2):
+    """Allocation rows of the lines of :func:`amount_lines`."""
     pairs = read_pairs(classified)
     originals = cut_lineage(explode_years(pairs, fy1, fy2).drop("kind"))
     amendments = cut_lineage(read_amendments(classified, originals, fy1, fy2))
@@ -469,6 +477,14 @@ def dedupe_large_repeats(df, scope=("doc_id",), order="line_number", threshold=L
     return df.where(~large).unionByName(first.select(*df.columns))
 
 
+def removed_repeats(df, scope=("doc_id",), order="line_number", threshold=LARGE_REPEAT):
+    """What :func:`dedupe_large_repeats` takes away: per repeated amount the line that
+    stays and how many rows go. Rows kept and rows removed add up to the rows given."""
+    keys = [*scope, "program_id", "fiscal_year", "section", "amount"]
+    return df.where(F.col("amount") > threshold).groupBy(*keys).agg(
+        F.min(order).alias("kept_line"), (F.count(F.lit(1)) - 1).alias("removed")).where(F.col("removed") > 0)
+
+
 def distinct_departments(df, order="line_number"):
     """First row's name per department code (ties by name).
 

@@ -33,8 +33,18 @@ def _group(name, index):
 
 
 def _thousands(text):
-    digits = F.nullif(F.regexp_replace(text, r"[^\d]", ""), F.lit(""))
-    return (F.coalesce(digits.try_cast("decimal(15,0)"), F.lit(0)) * 1000).cast(MONEY)
+    """Amount in thousands: 0 without digits, NULL if wider than an amount can be."""
+    digits = F.regexp_replace(text, r"[^\d]", "")
+    return F.when(digits == "", F.lit(0).cast(MONEY)).otherwise(
+        (digits.try_cast(f"decimal({MONEY.precision - MONEY.scale - 3},0)") * 1000).cast(MONEY))
+
+
+def unreadable_project_amounts(lines):
+    """Amounts of the project list that are too wide to be read, as findings."""
+    rows = list_lines(lines).where(F.col("shape").isin("funding", "second", "continuation"))
+    numbers = F.regexp_extract_all("text", F.lit(r"(\d[\d,]*)"), F.lit(1))
+    return rows.select("doc_id", "line_no", F.explode(numbers).alias("number")).where(
+        _thousands(F.col("number")).isNull())
 
 
 def _event(flag, *fields):

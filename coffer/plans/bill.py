@@ -8,8 +8,14 @@ expected result: the sums themselves.
 from pyspark.sql import functions as F
 
 from ..operators.grants import audit_grants, extract_grants
-from ..operators.lines import dedupe_large_repeats, extract_allocations
-from ..operators.projects import extract_projects, reconcile_projects
+from ..operators.lines import (
+    allocations_of,
+    amount_lines,
+    dedupe_large_repeats,
+    removed_repeats,
+    unreadable_amounts,
+)
+from ..operators.projects import extract_projects, reconcile_projects, unreadable_project_amounts
 from ..session import cut_lineage
 from .testdata import table
 
@@ -207,15 +213,33 @@ def bill_lines(spark, sf_dir):
     return program_lines(cell).unionByName(project_lines(cell)).unionByName(grant_lines(cell))
 
 
+def bill_findings(amounts, allocations, lines):
+    """What the reading job could not read or took away, one row each: ``doc_id``,
+    ``line_no``, ``finding``, ``detail`` and the number of ``rows`` it stands for."""
+    wide = unreadable_amounts(amounts).select("doc_id", "line_no", "number").unionByName(
+        unreadable_project_amounts(lines))
+    repeats = removed_repeats(allocations)
+    return wide.select(
+        "doc_id", "line_no", F.lit("unreadable amount").alias("finding"), F.col("number").alias("detail"),
+        F.lit(1).cast("long").alias("rows")).unionByName(repeats.select(
+            "doc_id", F.col("kept_line").alias("line_no"), F.lit("repeated large amount").alias("finding"),
+            F.concat_ws(" ", "program_id", "section", F.col("fiscal_year").cast("string"),
+                        F.col("amount").cast("string")).alias("detail"),
+            F.col("removed").alias("rows")))
+
+
 def parse_bills(lines, fy1=None, fy2=None):
-    """The whole reading job: allocations, reconciled projects, grants, audit.
+    """The whole reading job: allocations, reconciled projects, grants, audit, findings.
 
-    Every result is written once to the shared checkpoint folder, since the
-    later steps read it more than once.
+    Results that later steps read more than once are written to the shared checkpoint
+    folder. ``findings`` holds what could not be read and the repeats taken out: allocation
+    rows read are those kept and those that ``findings`` counts.
     """
     fy1 = first_year() if fy1 is None else fy1
     fy2 = first_year() + 1 if fy2 is None else fy2
-    allocations = cut_lineage(dedupe_large_repeats(extract_allocations(lines, fy1, fy2)))
+    amounts = amount_lines(lines)
+    read = cut_lineage(allocations_of(amounts, fy1, fy2))
+    allocations = dedupe_large_repeats(read)
     projects = cut_lineage(extract_projects(lines, fy1, fy2))
     grants = extract_grants(lines, allocations)
     return {
@@ -223,4 +247,5 @@ def parse_bills(lines, fy1=None, fy2=None):
         "projects": reconcile_projects(projects, allocations),
         "grants": grants,
         "grant_audit": audit_grants(lines, grants),
+        "findings": bill_findings(amounts, read, lines),
     }

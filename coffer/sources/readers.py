@@ -65,7 +65,8 @@ def read_vetoes(df, year_columns, program="Program"):
 
     ``year_columns`` maps a column to its fiscal year. Trailing letters and
     commas are stripped; the fund is the last letter, else A. Blank cells mean
-    no change; rows without a program are skipped. ``place`` keeps the order.
+    no change; rows without a program are skipped. ``place`` keeps the order. A
+    cell that is no amount has a NULL amount; :func:`unreadable_vetoes` lists them.
     """
     long = df.select(
         F.trim(F.col(program)).alias("program_id"),
@@ -80,13 +81,18 @@ def read_vetoes(df, year_columns, program="Program"):
     return cells.select(
         *keys,
         F.col("year").cast("int").alias("fiscal_year"),
-        F.coalesce(F.nullif(digits, F.lit("")).try_cast(MONEY), F.lit(0).cast(MONEY)).alias("amount"),
+        F.when(digits == "", F.lit(0).cast(MONEY)).otherwise(digits.try_cast(MONEY)).alias("amount"),
         F.when(letter == "", F.lit("A")).otherwise(letter).alias("fund_type"),
         F.concat(F.lit("Veto change for "), F.col("program_id"), F.lit(" FY"),
                  F.col("year")).alias("notes"),
     )
 
 
+def unreadable_vetoes(df, year_columns, program="Program"):
+    """Changes whose amount could not be read, as findings."""
+    return read_vetoes(df, year_columns, program).where(F.col("amount").isNull())
+
+
 def one_time_rows(df, fiscal_year):
     """One-time appropriations as allocation rows with a synthetic program."""
     return df.select(

@@ -181,3 +181,15 @@ def test_wide_amounts_are_findings(spark):
     assert [(r.line_no, r.number) for r in found] == [(1, "12,345,678,901,234,567")]
     amounts = [r[0] for r in df.orderBy("line_no").select(L._digits(F.col("raw"))).collect()]
     assert amounts[0] is None and float(amounts[1]) == 1200.0 and amounts[2] is None
+
+
+def test_kept_and_removed_repeats_add_up(spark):
+    rows = [("d", "P1", 2026, "Operating", f, 60_000_000, n) for n, f in enumerate("ABAB")]
+    rows += [("d", "P1", 2026, "Operating", "A", 5, 9), ("d", "P1", 2026, "Operating", "A", 5, 10),
+             ("e", "P1", 2026, None, "A", 70_000_000, 1), ("e", "P1", 2026, None, "A", 70_000_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, program_id string, fiscal_year int, section string, "
+                                     "fund_type string, amount long, line_number long").withColumn(
+        "amount", F.col("amount").cast("decimal(18,2)"))
+    removed = L.removed_repeats(df).collect()
+    assert {(r.doc_id, r.kept_line, r.removed) for r in removed} == {("d", 0, 3), ("e", 1, 1)}
+    assert L.dedupe_large_repeats(df).count() + sum(r.removed for r in removed) == len(rows)

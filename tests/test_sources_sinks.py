@@ -63,6 +63,17 @@ def test_vetoes(spark):
                    ("EDN400", 2027, "A"): 5.0}
 
 
+def test_unreadable_vetoes_are_findings(spark):
+    df = spark.createDataFrame(
+        [("P1", "99,999,999,999,999,999,999A", "5B"), ("P2", "n/a", "A")], "Program string, y1 string, y2 string")
+    years = {"y1": 2026, "y2": 2027}
+    got = {(r.program_id, r.fiscal_year): r.amount for r in readers.read_vetoes(df, years).collect()}
+    assert got[("P1", 2026)] is None and got[("P2", 2026)] is None
+    assert float(got[("P1", 2027)]) == 5 and float(got[("P2", 2027)]) == 0
+    found = readers.unreadable_vetoes(df, years).collect()
+    assert {(r.program_id, r.fiscal_year) for r in found} == {("P1", 2026), ("P2", 2026)}
+
+
 def test_descriptions(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"AGR": {"name": "n", "description": "d"}}))
     (tmp_path / "b.json").write_text(json.dumps([{"code": "TAX", "name": "t", "description": "x"}]))
