@@ -15,7 +15,7 @@ from ..sinks import (
     write_json_records,
     write_yearly_csv,
 )
-from ..sources.readers import read_lines
+from ..sources.readers import read_allocations, read_descriptions, read_lines
 from .base import query, with_alloc
 
 ROWS = ["department_code", "program_id", "section", "fiscal_year", "amount", "line_number"]
@@ -118,3 +118,32 @@ def file_lines(spark, d):
     path = _place(spark, "lines")
     table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text")).write.text(path)
     return read_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("allocation_csv", with_alloc("""
+SELECT department_code, section, fiscal_year, count(*) AS n, count(TRY_CAST(fund_type AS INTEGER)) AS numbers,
+  CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(positions) AS DOUBLE) AS positions FROM alloc
+GROUP BY department_code, section, fiscal_year"""))
+def allocation_csv(spark, d):
+    path = _place(spark, "allocations")
+    write_csv(allocations(spark, d, *ROWS, "fund_type", "positions"), path)
+    return read_allocations(spark, path).groupBy("department_code", "section", "fiscal_year").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.col("fund_type").try_cast("int")).alias("numbers"),
+        F.sum("amount").alias("amount"), F.sum("positions").alias("positions"))
+
+
+@query("descriptions_json", """
+SELECT n_name AS department_code, 'The "' || n_name || '"' AS name, 'Works in region ' || n_regionkey || '.' AS description
+FROM nation UNION ALL SELECT r_name, 'Region ' || r_name, 'No. ' || r_regionkey FROM region""")
+def descriptions_json(spark, d):
+    path, nation, region = _place(spark, "texts"), table(spark, d, "nation"), table(spark, d, "region")
+    # both dimensions are short fixed lists, as the files of descriptions are
+    entry = F.struct(F.concat(F.lit('The "'), "n_name", F.lit('"')).alias("name"),
+                     F.concat(F.lit("Works in region "), "n_regionkey", F.lit(".")).alias("description"))
+    keyed = nation.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", entry)))).alias("t"))
+    listed = region.agg(F.to_json(F.collect_list(F.struct(
+        F.col("r_name").alias("code"), F.concat(F.lit("Region "), "r_name").alias("name"),
+        F.concat(F.lit("No. "), "r_regionkey").alias("description")))).alias("t"))
+    keyed.write.text(f"{path}/keyed")
+    listed.write.text(f"{path}/listed")
+    return read_descriptions(spark, f"{path}/keyed").unionByName(read_descriptions(spark, f"{path}/listed"))

@@ -104,31 +104,27 @@ def nearest_column(numbers, columns, x="x1", edge="edge", offset=17.0, tolerance
 def merge_fragments(lines, gap=3.0):
     """Join ``2,291,`` and ``122`` on a line: a trailing comma, then digits.
 
-    Works on the word array of a line; a merged pair is not merged again.
+    A joined word ends in a digit, so no join depends on another one: each word looks at
+    its two neighbours in the line's array, which takes time in proportion to its length.
     """
-    entry = "array<struct<x0:double,x1:double,text:string>>"
-    start = F.struct(F.array().cast(entry).alias("out"), F.lit(False).alias("joined"))
-
-    def step(acc, word):
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        joins = (
-            ~acc["joined"] & last.isNotNull() & last["text"].endswith(",")
-            & word["text"].rlike(r"^\d+$") & (word["x0"] - last["x1"] < gap))
-        merged = F.struct(last["x0"].alias("x0"), word["x1"].alias("x1"),
-                          F.concat(last["text"], word["text"]).alias("text"))
-        plain = F.struct(word["x0"].alias("x0"), word["x1"].alias("x1"),
-                         word["text"].alias("text"))
-        return F.struct(
-            F.when(joins, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
-                                   F.array(merged))).otherwise(
-                F.concat(acc["out"], F.array(plain))).alias("out"),
-            F.coalesce(joins, F.lit(False)).alias("joined"))
-
     source = F.transform("words", lambda w: F.struct(
         w["x0"].cast("double").alias("x0"), w["x1"].cast("double").alias("x1"),
         w["text"].alias("text")))
-    folded = settle(lines, {"__merged": F.aggregate(source, start, step)["out"]})
-    out = folded.withColumn("words", F.col("__merged")).drop("__merged")
+
+    def joins(left, right):
+        return F.coalesce(
+            left["text"].endswith(",") & right["text"].rlike(r"^\d+$") & (right["x0"] - left["x1"] < gap),
+            F.lit(False))
+
+    def joined(word, i):
+        before, after = F.get("__words", i - 1), F.get("__words", i + 1)
+        whole = F.struct(word["x0"].alias("x0"), after["x1"].alias("x1"),
+                         F.concat(word["text"], after["text"]).alias("text"))
+        return F.when(joins(before, word), None).when(joins(word, after), whole).otherwise(word)
+
+    rows = settle(lines, {"__words": source})
+    out = settle(rows, {"__merged": F.filter(F.transform("__words", joined), lambda w: w.isNotNull())})
+    out = out.withColumn("words", F.col("__merged")).drop("__merged", "__words")
     return out.withColumn("line", F.array_join(F.transform("words", lambda w: w["text"]), " "))
 
 
