@@ -119,6 +119,14 @@ def project_context(lines):
         "after_funding": fresh, "has_previous": same_program, "is_extra": extra})
 
 
+def block_lines(context):
+    """The lines and columns that the steps after the context read: headers, amounts and
+    the text of open blocks. Other lines have done their part once the context is carried."""
+    amounts = F.col("shape").isin("header", "funding", "second", "continuation")
+    return context.where(amounts | ((F.col("shape") == "text") & F.col("in_block"))).drop(
+        "raw", "in_list", "x_event", "f_event", "cut")
+
+
 def fund_rows(context):
     """One row per funding line of a block: the primary and further funds."""
     primary = context.where("valid").select(
@@ -185,7 +193,7 @@ def reissued_blocks(context):
 
 def extract_projects(lines, fy1, fy2):
     """Project rows per fund and year, reissued blocks removed."""
-    context = cut_lineage(project_context(lines))
+    context = cut_lineage(block_lines(project_context(lines)))
     rows = fund_rows(context)
     amended = continuation_amounts(context).join(
         rows.select("doc_id", "row_line", "fund1", "fund2", "amount2"), ["doc_id", "row_line"])

@@ -191,26 +191,28 @@ def request_rows(words, programs, funds, labels=None, band=150):
     """
     labels = labels or REQUEST_LABELS + ["BIENNIUM", "BIENNIUM", "CHANGE"]
     columns = header_columns(words, labels, band)
-    lines = cut_lineage(
-        column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE))
+    placed = column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE)
     upper = F.upper("line")
     event = (
         F.when(upper.contains("CAPITAL INVESTMENT"), F.lit("capital"))
         .when(upper.contains("TOTAL CAPITAL COST"), F.lit("capital_funds"))
         .when(upper.contains("TOTAL PROGRAM COST"), F.lit("end"))
         .when(upper.rlike(r"\bOPERATING\b") & ~upper.contains("TOTAL"), F.lit("operating")))
+    marked = settle(placed, {"event": event, "letter": _fund_of(upper, funds)})
+    # only lines that open a section or name a fund are written, without their words
+    lines = cut_lineage(marked.where("event IS NOT NULL OR letter IS NOT NULL").select(
+        "doc_id", "page", "program_id", "line_no", "event", "letter", *REQUEST_COLUMNS))
     state = carry_forward(
-        lines.withColumn("upper", upper), ["doc_id", "program_id"], "line_no",
-        {"state": F.when(event.isNotNull(), F.struct(event.alias("s"), "page"))})
+        lines, ["doc_id", "program_id"], "line_no",
+        {"state": F.when(F.col("event").isNotNull(), F.struct(F.col("event").alias("s"), "page"))})
     section = F.when(F.col("state.s").isin("capital", "capital_funds"), F.lit(CAPITAL)).otherwise(
         F.lit(OPERATING))
     inside = F.coalesce(
         ~F.col("state.s").isin("capital", "end")
         | ((F.col("state.s") == "end") & (F.col("state.page") < F.col("page"))), F.lit(True))
-    letter = _fund_of(F.col("upper"), funds)
-    rows = state.where(inside & letter.isNotNull()).select(
+    rows = state.where(inside & F.col("letter").isNotNull()).select(
         "doc_id", "page", "program_id", "line_no", section.alias("section"),
-        letter.alias("fund_type"), recommended("fy1").alias("amount1"),
+        F.col("letter").alias("fund_type"), recommended("fy1").alias("amount1"),
         recommended("fy2").alias("amount2"))
     return rows.where((F.col("amount1") != 0) | (F.col("amount2") != 0))
 
@@ -227,22 +229,27 @@ def request_projects(words, programs, funds, band=170):
     rows follow until the next header or the program totals.
     """
     columns = header_columns(words, REQUEST_LABELS, band)
-    lines = cut_lineage(
-        column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE))
+    placed = column_values(word_lines(words), columns, REQUEST_COLUMNS).join(programs, PAGE)
     first = F.element_at("words", 1)
     titled = F.exists(F.slice("words", F.lit(2), F.size("words")), lambda w: ~w["text"].rlike(r"^-?[\d,]+$"))
     header = (first["text"].rlike(PROJECT_CODE) & ~first["text"].isin(COST_WORDS) & titled
               & (first["x0"] <= 90))
     totals = F.upper("line").contains("PROGRAM TOTALS")
     title = F.regexp_replace("line", r"^\S+\s+(?:\d{1,2}\s+)?", "")
-    event = F.when(totals, F.struct(F.lit(None).cast("string").alias("id"),
-                                    F.lit(None).cast("string").alias("name"))).when(
-        header, F.struct(first["text"].alias("id"), title.alias("name")))
+    marked = settle(placed, {
+        "header": header, "totals": totals, "code": first["text"], "title": title,
+        "letter": _fund_of(F.upper("line"), funds)})
+    # only headers, totals and lines that name a fund are written, without their words
+    lines = cut_lineage(marked.where("header OR totals OR letter IS NOT NULL").select(
+        *PAGE, "program_id", "line_no", "header", "totals", "code", "title", "letter", *REQUEST_COLUMNS))
+    event = F.when(F.col("totals"), F.struct(F.lit(None).cast("string").alias("id"),
+                                             F.lit(None).cast("string").alias("name"))).when(
+        F.col("header"), F.struct(F.col("code").alias("id"), F.col("title").alias("name")))
     carried = carry_forward(lines, PAGE, "line_no", {"project": event})
-    letter = _fund_of(F.upper("line"), funds)
-    rows = carried.where(~header & F.col("project.id").isNotNull() & letter.isNotNull()).select(
+    rows = carried.where(
+        ~F.col("header") & F.col("project.id").isNotNull() & F.col("letter").isNotNull()).select(
         "doc_id", "page", "program_id", F.col("project.id").alias("project_id"),
-        F.col("project.name").alias("project_name"), letter.alias("fund_type"),
+        F.col("project.name").alias("project_name"), F.col("letter").alias("fund_type"),
         (recommended("fy1") * 1000).cast(MONEY).alias("amount1"),
         (recommended("fy2") * 1000).cast(MONEY).alias("amount2"))
     return rows.where((F.col("amount1") != 0) | (F.col("amount2") != 0))
