@@ -30,7 +30,13 @@ def line_tops(words, mode="tolerance", tolerance=2.0):
         return words.withColumn("line_top", (F.bround(F.col("top") / 3) * 3).cast("double"))
     if mode == "round":
         return words.withColumn("line_top", F.bround("top").cast("double"))
-    tops = words.groupBy(*PAGE).agg(F.array_sort(F.collect_set("top")).alias("tops"))
+    # a gap beyond the tolerance opens a line whatever came before; only the tops of a run
+    # without such a gap depend on each other, and those are followed one by one
+    order = W.partitionBy(*PAGE).orderBy("top")
+    gap = F.coalesce(F.col("top") - F.lag("top").over(order) > tolerance, F.lit(True))
+    runs = words.select(*PAGE, "top").distinct().withColumn("__gap", gap.cast("int")).withColumn(
+        "__run", F.sum("__gap").over(order)).groupBy(*PAGE, "__run").agg(
+        F.array_sort(F.collect_list("top")).alias("tops"))
     entry = "array<struct<top:double,line_top:double>>"
     start = F.struct(F.lit(None).cast("double").alias("anchor"),
                      F.array().cast(entry).alias("rows"))
@@ -43,7 +49,7 @@ def line_tops(words, mode="tolerance", tolerance=2.0):
             F.concat(acc["rows"], F.array(F.struct(top.alias("top"), anchor.alias("line_top")))
                      ).alias("rows"))
 
-    anchors = tops.withColumn("r", F.aggregate("tops", start, step)).select(
+    anchors = runs.withColumn("r", F.aggregate("tops", start, step)).select(
         *PAGE, F.inline("r.rows"))
     return words.join(anchors, [*PAGE, "top"])
 

@@ -242,3 +242,25 @@ def test_band_fragments_and_first_schedule_only(spark):
             "Total expenditures"]
     lines = spark.createDataFrame([("d", i, t) for i, t in enumerate(text)], "doc_id string, line_no long, line string")
     assert [float(r.original) for r in C.schedule_rows(lines).collect()] == [1000.0]
+
+
+def test_line_tops_follow_the_anchor(spark):
+    import random
+    rng = random.Random(8)
+    tops = [round(rng.choice([rng.uniform(0, 40), rng.uniform(100, 900)]), 1) for _ in range(200)]
+    df = spark.createDataFrame([("d", 1, 0.0, 1.0, t, "w") for t in tops],
+                               "doc_id string, page int, x0 double, x1 double, top double, text string")
+    got = {r.top: r.line_top for r in C.line_tops(df).collect()}
+    anchor, want = None, {}
+    for t in sorted(set(tops)):
+        if anchor is None or abs(t - anchor) > 2.0:
+            anchor = t
+        want[t] = anchor
+    assert got == want
+
+
+def test_a_very_long_line_is_merged_in_place(spark):
+    words_ = [(float(i), i + 0.5, "1," if i % 3 == 0 else "23" if i % 3 == 1 else "x") for i in range(20_000)]
+    df = spark.createDataFrame([(1, words_)], "k int, words array<struct<x0:double,x1:double,text:string>>")
+    line = C.merge_fragments(df).first().line
+    assert line == " ".join(("1,23" if i % 3 == 0 else "x") for i in range(20_000) if i % 3 != 1)
