@@ -354,6 +354,36 @@ def test_main_text(spark):
     assert out[6][1] == ("word, " * 40000).strip()
 
 
+LEAD = "A short lead."
+BODY = " ".join(f"Sentence {i} of the body has words, commas and a full stop." for i in range(30))
+MENU = "<div><a href=x>One</a> <a href=y>Two</a> <a href=z>Three</a></div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<article><h1>Title</h1><p>{LEAD}</p><div class=body><p>{BODY}</p></div><p>The end.</p></article>",
+     f"Title {LEAD} {BODY} The end."),
+    (f"<main><section><p>{BODY}</p></section><section><p>Two lines, no more.</p></section></main>",
+     f"{BODY} Two lines, no more."),
+    (f"<article><p class=related-work>{BODY}</p><div class='side-by-side'><p>{BODY}</p></div>"
+     f"<section id=notice><h2>Notice</h2><p>{BODY}</p></section></article>", f"{BODY} {BODY} Notice {BODY}"),
+    (f"<article><p>{BODY}</p><div class='share-row-x'>Tell all</div><div class=comment-body><p>{BODY}</p></div>"
+     f"<div class=ad>Buy now, it is cheap.</div></article>", BODY),
+    (f"<body class='has-sidebar'>{MENU}<div><h1>Head</h1><div><p>{BODY}</p></div><div><p>{BODY}</p></div></div>"
+     f"{MENU}</body>", f"Head {BODY} {BODY}"),
+    (f"<div>{MENU}<p>{LEAD}</p><p>{BODY}</p>{MENU}</div>", f"{LEAD} {BODY}"),
+    (f"<article><p>{BODY}</p></article><article><p>{BODY}</p></article><article><p>{BODY}</p></article>",
+     f"{BODY} {BODY} {BODY}"),
+    (f"<article><p>{BODY}</p><article class=comment><p>{BODY}</p></article></article>", BODY),
+    ("<div class=ad-x>few</div>", "few")])
+def test_articles_are_kept_whole(html, text):
+    assert markup.main_text(html) == text
+
+
+def test_main_text_of_no_pages(spark):
+    out = markup.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 0
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 255, 256, 5000, 40000):
