@@ -19,7 +19,7 @@ from tokenizers.pre_tokenizers import Split
 
 from .common import Recent, small_batches
 
-CACHE = 1 << 18
+CACHE = 1 << 17
 CACHED_LENGTH = 48
 NEVER = 1 << 60
 
