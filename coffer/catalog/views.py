@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import views as V
-from ..operators.ordered import first_per_key, top_per_group
+from ..operators.ordered import first_per_key, top_per_group, with_place
 from ..plans.testdata import allocations, table
 from .base import query, with_alloc
 
@@ -288,6 +288,53 @@ def user_sort(spark, d):
     return V.user_sort(sums, "program_id", True, True, ["department_code"])
 
 
+def _year_sums(spark, d):
+    return allocations(spark, d, "department_code", "program_id", "fiscal_year", "amount").groupBy(
+        "department_code", "program_id", "fiscal_year").agg(F.sum("amount").alias("amount"))
+
+
+def _placed_sql(order):
+    return with_alloc(f"""
+, s AS (SELECT department_code, program_id, fiscal_year, sum(amount) AS amount FROM alloc GROUP BY ALL)
+SELECT * REPLACE (CAST(fiscal_year AS BIGINT) AS fiscal_year, CAST(amount AS DOUBLE) AS amount),
+       row_number() OVER (ORDER BY {order}) AS place FROM s""")
+
+
+@query("sort_by_id", _placed_sql("program_id NULLS LAST, department_code NULLS LAST, fiscal_year"))
+def sort_by_id(spark, d):
+    return with_place(_year_sums(spark, d), [
+        F.asc_nulls_last("program_id"), F.asc_nulls_last("department_code"), "fiscal_year"])
+
+
+@query("sort_by_value", _placed_sql(
+    "amount DESC NULLS LAST, program_id NULLS LAST, department_code NULLS LAST, fiscal_year"))
+def sort_by_value(spark, d):
+    return with_place(_year_sums(spark, d), [
+        F.desc_nulls_last("amount"), F.asc_nulls_last("program_id"),
+        F.asc_nulls_last("department_code"), "fiscal_year"])
+
+
+@query("sort_by_keys", _placed_sql(
+    "department_code NULLS LAST, fiscal_year DESC, amount DESC NULLS LAST, program_id NULLS LAST"))
+def sort_by_keys(spark, d):
+    return with_place(_year_sums(spark, d), [
+        F.asc_nulls_last("department_code"), F.desc("fiscal_year"), F.desc_nulls_last("amount"),
+        F.asc_nulls_last("program_id")])
+
+
+@query("sort_by_delta", with_alloc("""
+, s AS (SELECT program_id, coalesce(sum(amount) FILTER (fiscal_year = 1998), 0)
+    - coalesce(sum(amount) FILTER (fiscal_year = 1997), 0) AS delta FROM alloc GROUP BY 1)
+SELECT program_id, CAST(delta AS DOUBLE) AS delta,
+       row_number() OVER (ORDER BY abs(delta) DESC, program_id NULLS LAST) AS place FROM s"""))
+def sort_by_delta(spark, d):
+    year = lambda y: F.coalesce(
+        F.sum(F.when(F.col("fiscal_year") == y, F.col("amount"))), F.lit(0))
+    sums = allocations(spark, d, "program_id", "fiscal_year", "amount").groupBy("program_id").agg(
+        (year(1998) - year(1997)).alias("delta"))
+    return with_place(sums, [F.desc(F.abs("delta")), F.asc_nulls_last("program_id")])
+
+
 @query("group_order", with_alloc("""
 , s AS (SELECT department_code, program_id, sum(amount) AS amount FROM alloc GROUP BY ALL)
 SELECT department_code, program_id, CAST(amount AS DOUBLE) AS amount,

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from ..session import cut_lineage
+
 CHUNK_ROWS = 65536
 
 
@@ -242,6 +244,25 @@ def exact_median(df, keys, value, out="median", width=10_000):
     return ends.groupBy(*keys).agg(middle.alias(out))
 
 
+def with_place(df, order, out="place"):
+    """Number all rows from 1 in a total order, without a window over all rows.
+
+    A range-partitioned sort is written once; rows are numbered inside each of its partitions
+    and the partition counts, one row a partition, give each its first number. ``order`` must
+    leave no ties for the numbers to be reproducible. Runs Spark jobs when called.
+    """
+    row_bits = 33  # of the generated id: the row inside its partition
+    placed = cut_lineage(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.select(
+        *df.columns, F.shiftright("__id", row_bits).alias("__part"),
+        F.col("__id").bitwiseAND(F.lit((1 << row_bits) - 1)).alias("__row"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    first = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return placed.join(first, "__part").select(
+        *df.columns, (F.col("__first") + F.col("__row") + 1).alias(out))
+
+
 def top_per_group(df, keys, order, k):
     """First ``k`` rows per group; Spark trims each group before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -117,3 +117,13 @@ def test_hot_key_stays_exact(spark):
         F.when(F.col("id") % 997 == 0, F.col("id")).alias("v"))
     out = O.carry_forward(df, ["k"], "o", {"c": F.col("v")}, chunk_rows=500)
     assert out.where(F.col("c") != F.col("o") - F.col("o") % 997).count() == 0
+
+
+def test_places_follow_the_order_over_many_partitions(spark):
+    rows = [(i * 7919 % 5003, i) for i in range(5000)] + [(None, 5000)]
+    frame = spark.createDataFrame(rows, "v int, i int").repartition(7)
+    placed = O.with_place(frame, [F.desc_nulls_last("v"), "i"]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [(r["v"], r["i"]) for r in sorted(placed, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in placed) == list(range(1, 5002))
+    assert O.with_place(frame.limit(0), ["v"]).count() == 0
