@@ -277,9 +277,9 @@ WITH b(status, lo, hi, rate) AS (
   (VALUES (0, 2400, 0.014), (2400, 4800, 0.032), (4800, 9600, 0.055), (9600, 14400, 0.064),
     (14400, 19200, 0.068), (19200, 24000, 0.072), (24000, 36000, 0.076), (36000, 48000, 0.079),
     (48000, 150000, 0.0825), (150000, 175000, 0.09), (175000, 200000, 0.10),
-    (200000, 1e12, 0.11)) r(lo, hi, rate)),
+    (200000, 1000000000000, 0.11)) r(lo, hi, rate)),
 p AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'mfj' WHEN 'O' THEN 'hoh' ELSE 'single'
-   END AS status, o_totalprice FROM orders),
+   END AS status, CAST(o_totalprice AS DECIMAL(18, 2)) AS o_totalprice FROM orders),
 t AS (SELECT o_orderkey, p.status, greatest(o_totalprice - CASE p.status WHEN 'mfj' THEN 8800
    WHEN 'hoh' THEN 6424 ELSE 4400 END, 0) AS taxable FROM p)
 SELECT o_orderkey, CAST(floor(sum(greatest(least(taxable, hi) - lo, 0) * rate) + 0.5) AS BIGINT) AS tax

@@ -1,7 +1,11 @@
 """Fiscal calendar, closeness and tax arithmetic."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
+from ..schema import MONEY
+
 # Income tax brackets (upper bound, marginal rate) of a single
 # filer; the other statuses scale the bounds. The last bracket is open.
 SINGLE_BRACKETS = [
@@ -30,19 +34,23 @@ def is_close(a, b, rel=1e-5, absolute=1e-8):
 def income_tax(income, status):
     """Progressive tax after the standard deduction, rounded to whole dollars.
 
-    An unknown status is taxed as single.
+    An unknown status is taxed as single. Income counts in cents and the tax is
+    summed exactly, so that half dollars always round up.
     """
+    def exact(number):
+        return F.lit(Decimal(str(number)))
+
+    cents = F.coalesce(income.try_cast(MONEY), exact(0))
+
     def taxed_as(kind):
-        scale = BRACKET_SCALE[kind]
-        taxable = F.greatest(
-            F.coalesce(income.cast("double"), F.lit(0.0)) - STANDARD_DEDUCTION[kind], F.lit(0.0)
-        )
-        total, lower = F.lit(0.0), 0.0
+        scale = Decimal(str(BRACKET_SCALE[kind]))
+        taxable = F.greatest(cents - exact(STANDARD_DEDUCTION[kind]), exact(0))
+        total, lower = exact(0), Decimal(0)
         for upper, rate in SINGLE_BRACKETS:
-            capped = taxable if upper is None else F.least(taxable, F.lit(upper * scale))
-            total = total + F.greatest(capped - F.lit(lower), F.lit(0.0)) * F.lit(rate)
+            capped = taxable if upper is None else F.least(taxable, exact(upper * scale))
+            total = total + F.greatest(capped - exact(lower), exact(0)) * exact(rate)
             lower = lower if upper is None else upper * scale
-        return F.floor(total + 0.5)
+        return F.floor(total + exact("0.5"))
 
     return (
         F.when(status == "mfj", taxed_as("mfj"))

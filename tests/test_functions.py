@@ -1,9 +1,13 @@
 """Scalar functions against hand-computed values."""
 
+import math
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from coffer import functions as X
+from coffer.functions.fiscal import SINGLE_BRACKETS
 
 
 def values(spark, inputs, fn):
@@ -118,3 +122,18 @@ def test_fiscal_years(spark):
     row = df.select(X.fiscal_year_of(F.col("a")), X.fiscal_year_of(F.col("b")),
                     X.biennium_start(F.col("y"))).first()
     assert tuple(row) == (2025, 2026, 2026)
+
+
+def test_income_tax_rounds_half_dollars_up(spark):
+    """4,400 and the first bracket untaxed, then 33.60 + 3.2 %, 110.40 + 5.5 %, 374.40 + 6.4 % ..."""
+    # exact taxes that end in .5: binary sums put some of them below it
+    incomes = [6935.71 + 0.0, 11018.18, 4400 + 12700.0, 4400 + 2400 + 59.375, 4400 + 4800 + 40.0]
+    rows = [(i,) for i in incomes] + [(4400 + 200_000 + 100 * k + 50.0,) for k in range(2000)]
+    got = {r.i: r.tax for r in spark.createDataFrame(rows, "i double").select(
+        "i", X.income_tax(F.col("i"), F.lit("x")).alias("tax")).collect()}
+    for (i,) in rows:
+        left, due, low = Decimal(str(round(i, 2))) - 4400, Decimal(0), 0
+        for upper, rate in SINGLE_BRACKETS:
+            due += max(min(left, upper or left) - low, 0) * Decimal(str(rate))
+            low = upper
+        assert got[i] == math.floor(due + Decimal("0.5")), i
