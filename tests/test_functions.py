@@ -125,9 +125,8 @@ def test_fiscal_years(spark):
 
 
 def test_income_tax_rounds_half_dollars_up(spark):
-    """4,400 and the first bracket untaxed, then 33.60 + 3.2 %, 110.40 + 5.5 %, 374.40 + 6.4 % ..."""
-    # exact taxes that end in .5: binary sums put some of them below it
-    incomes = [6935.71 + 0.0, 11018.18, 4400 + 12700.0, 4400 + 2400 + 59.375, 4400 + 4800 + 40.0]
+    # taxes that end in .5 exactly; their binary sums stay below it
+    incomes = [18975.0, 19225.0, 19475.0, 19725.0]
     rows = [(i,) for i in incomes] + [(4400 + 200_000 + 100 * k + 50.0,) for k in range(2000)]
     got = {r.i: r.tax for r in spark.createDataFrame(rows, "i double").select(
         "i", X.income_tax(F.col("i"), F.lit("x")).alias("tax")).collect()}
