@@ -264,3 +264,24 @@ def test_a_very_long_line_is_merged_in_place(spark):
     df = spark.createDataFrame([(1, words_)], "k int, words array<struct<x0:double,x1:double,text:string>>")
     line = C.merge_fragments(df).first().line
     assert line == " ".join(("1,23" if i % 3 == 0 else "x") for i in range(20_000) if i % 3 != 1)
+
+
+def test_words_of_a_page_are_shuffled_once(spark):
+    """Lines by tolerance join nothing back and leave out words without a place."""
+    rows = [(f"d{i % 3}", i % 5, 10.0 * w, 10.0 * w + 5, 100.0 + 1.5 * w + i, f"w{w}")
+            for i in range(30) for w in range(8)]
+    rows += [("d0", 1, 0.0, 1.0, None, "lost"), (None, 1, 0.0, 1.0, 5.0, "lost")]
+    df = spark.createDataFrame(rows, "doc_id string, page long, x0 double, x1 double, top double, text string")
+    out = C.word_lines(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    expected = {}
+    for doc, page in {(r[0], r[1]) for r in rows if r[0]}:
+        anchor = None
+        for top, x0, x1, text in sorted((r[4], r[2], r[3], r[5]) for r in rows if r[:2] == (doc, page) and r[4]):
+            anchor = top if anchor is None or top - anchor > 2.0 else anchor
+            expected.setdefault((doc, page, anchor), []).append((x0, x1, text))
+    got = {(r.doc_id, r.page, r.line_top): [tuple(w) for w in r.words] for r in out.collect()}
+    assert got == {k: sorted(v) for k, v in expected.items()}
+    placed = C.line_tops(df).select("doc_id", "page", "line_top", "text").collect()
+    assert len(placed) == 240 and {(r.doc_id, r.page, r.line_top) for r in placed} == set(expected)
