@@ -7,7 +7,7 @@ from ..operators import words as C
 from ..plans.testdata import table
 from ..sources.readers import page_half
 from .base import query
-from .words import _ROWS, _rows, _word, _words
+from .words import _ROWS, _rendered, _rows, _word, _words
 
 FUNDS = [("GENERAL FUND", "A"), ("SPECIAL FUND", "B"), ("G.O. BONDS", "C")]
 LABELS = [(180, 200, "APPRN"), (280, 300, "ADJUSTMENT"), (380, 400, "APPRN"),
@@ -28,17 +28,14 @@ def _request_words(spark, d):
     top = F.lit(200) + F.col("n") * 12
     fund = F.when(F.col("n") > 3, "G.O. BONDS").when(F.col("n") == 1, "GENERAL FUND").otherwise(
         "SPECIAL FUND")
-    rows = _rows(spark, d)
-    body = rows.select("doc_id", "page", F.inline(F.array_compact(F.array(
+    return _rendered(_rows(spark, d), [
         _word(10, 60, top, fund), _number(200, top, F.col("q")), _number(300, top, -F.col("n")),
         F.when(F.col("flag") == "R", _number(400, top, F.col("v"))),
-        _number(700, top, F.col("v"))))))
-    frame = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(
-        *[_word(a, b, F.lit(100), F.lit(t)) for a, b, t in LABELS],
-        _text_line(150, "OPERATING"), _text_line(240, "CAPITAL INVESTMENT"),
-        _text_line(244, "TOTAL CAPITAL COST"), _text_line(400, "TOTAL PROGRAM COST"),
-        _text_line(420, "GENERAL FUND"), _number(400, F.lit(420), F.lit(999)))))
-    return body.unionByName(frame)
+        _number(700, top, F.col("v"))],
+        [*[_word(a, b, F.lit(100), F.lit(t)) for a, b, t in LABELS],
+         _text_line(150, "OPERATING"), _text_line(240, "CAPITAL INVESTMENT"),
+         _text_line(244, "TOTAL CAPITAL COST"), _text_line(400, "TOTAL PROGRAM COST"),
+         _text_line(420, "GENERAL FUND"), _number(400, F.lit(420), F.lit(999))])
 
 
 def _programs(spark, d):
@@ -65,20 +62,18 @@ WHERE v <> 0 OR q <> n""")
 def request_projects(spark, d):
     top = F.lit(200) + F.col("n") * 24
     below = top + 10
-    rows = _rows(spark, d)
-    body = rows.select("doc_id", "page", F.inline(F.array_compact(F.array(
+    words = _rendered(_rows(spark, d), [
         _word(20, 40, top, F.concat(F.lit("K"), F.col("n").cast("string"))),
         _word(45, 50, top, F.lit("7")), _word(60, 90, top, F.lit("OTHER")),
         _word(95, 120, top, F.concat(F.lit("WORKS "), F.col("flag"))),
         _word(100, 140, below, F.lit("G.O. BONDS")), _number(200, below, F.col("q")),
         _number(300, below, -F.col("n")),
         F.when(F.col("flag") == "R", _number(400, below, F.col("v"))),
-        _number(700, below, F.col("v"))))))
-    frame = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(
-        *[_word(a, b, F.lit(100), F.lit(t)) for a, b, t in LABELS[:6]],
-        _text_line(500, "PROGRAM TOTALS"), _word(100, 140, F.lit(520), F.lit("G.O. BONDS")),
-        _number(400, F.lit(520), F.lit(5)))))
-    return C.request_projects(body.unionByName(frame), _programs(spark, d), FUNDS)
+        _number(700, below, F.col("v"))],
+        [*[_word(a, b, F.lit(100), F.lit(t)) for a, b, t in LABELS[:6]],
+         _text_line(500, "PROGRAM TOTALS"), _word(100, 140, F.lit(520), F.lit("G.O. BONDS")),
+         _number(400, F.lit(520), F.lit(5))])
+    return C.request_projects(words, _programs(spark, d), FUNDS)
 
 
 @query("position_totals", """
@@ -257,14 +252,11 @@ SELECT doc_id, page, n, 'Public Safety' AS department_name, 'Hall ' || n AS prog
   'GL' AS code, CAST(v AS DOUBLE) AS amount FROM t""")
 def banded_projects(spark, d):
     top = F.lit(200) + F.lit(30) * F.col("n")
-    rows = _rows(spark, d)
-    body = rows.select("doc_id", "page", F.inline(F.array(
+    words = _rendered(_rows(spark, d), [
         _word(50, 80, top, F.concat(F.lit("2001234 Hall "), F.col("n").cast("string"))),
         _word(430, 450, top, F.format_number("v", 0)), _word(510, 550, top, F.format_number("v", 0)),
-        _word(480, 490, top + 9, F.lit("GL")))))
-    heads = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(F.array(
-        _word(50, 99, F.lit(150), F.lit("PUBLIC SAFETY")))))
-    found = C.banded_projects(C.word_lines(body.unionByName(heads), "round"), ["PUBLIC SAFETY"])
+        _word(480, 490, top + 9, F.lit("GL"))], [_word(50, 99, F.lit(150), F.lit("PUBLIC SAFETY"))])
+    found = C.banded_projects(C.word_lines(words, "round"), ["PUBLIC SAFETY"])
     return found.select(
         "doc_id", "page",
         F.floor((F.col("line_no") % C.LINE_SPAN / 10 - 200) / 30).cast("long").alias("n"),

@@ -1,5 +1,6 @@
 """Positional-word and page-text queries on pages rendered from the tables."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import notes as N
@@ -9,6 +10,8 @@ from ..plans.bill import CODES, _pick
 from ..plans.testdata import allocations, table
 from .base import query, with_alloc
 
+WORDS = "array<struct<x0:double,x1:double,top:double,text:string>>"
+
 # One page per order: a line per line number with the summed values.
 _ROWS = """
 WITH r AS (SELECT l_orderkey AS page, 'D' || (l_orderkey // 100) AS doc_id, l_linenumber AS n,
@@ -18,11 +21,26 @@ WITH r AS (SELECT l_orderkey AS page, 'D' || (l_orderkey // 100) AS doc_id, l_li
 
 
 def _rows(spark, d):
-    return table(spark, d, "lineitem").groupBy(
-        F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n")).agg(
+    """Summed lines of every page, dealt by page once; ``first`` marks one line a page.
+
+    The number of parts is the session's: rows are short here and grow tenfold into words, so
+    parts merged by their size in the shuffle would be too large for a task.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    page = F.col("l_orderkey")
+    lines = table(spark, d, "lineitem").select(
+        F.concat(F.lit("D"), F.floor(page / 100).cast("string")).alias("doc_id"), page.alias("page"),
+        F.col("l_linenumber").alias("n"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return lines.repartition(parts, "doc_id", "page").groupBy("doc_id", "page", "n").agg(
         F.sum("l_quantity").cast("long").alias("q"),
         F.sum(F.floor("l_extendedprice")).alias("v"), F.min("l_returnflag").alias("flag")
-    ).withColumn("doc_id", F.concat(F.lit("D"), F.floor(F.col("page") / 100).cast("string")))
+    ).withColumn("first", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("n")) == 1)
+
+
+def _rendered(rows, words, once):
+    """Words of every line, and those that stand once on a page (beside its first line)."""
+    first = F.when(F.col("first"), F.array(*once)).otherwise(F.array().cast(WORDS))
+    return rows.select("doc_id", "page", F.inline(F.concat(F.array_compact(F.array(*words)).cast(WORDS), first)))
 
 
 def _word(x0, x1, top, text):
@@ -36,15 +54,12 @@ def _words(spark, d):
     shown = F.format_number("v", 0)
     head = F.regexp_replace(shown, r"[^,]*$", "")
     tail = F.regexp_extract(shown, r"([^,]*)$", 1)
-    body = _rows(spark, d).select("doc_id", "page", F.inline(F.array(
+    labels = [(180, 200, "APPRN"), (270, 300, "ADJUSTMENT"), (370, 400, "APPRN")]
+    return _rendered(_rows(spark, d), [
         _word(30, 60, top, F.concat(F.lit("LINE"), F.col("n").cast("string"))),
         _word(150, 200, top + 0.4, head), _word(201, 217, top + 0.8, tail),
-        _word(280, 315, top - 0.3, F.col("q").cast("string"))))).where(F.col("text") != "")
-    labels = [(180, 200, "APPRN"), (270, 300, "ADJUSTMENT"), (370, 400, "APPRN")]
-    header = _rows(spark, d).select("doc_id", "page").distinct().select(
-        "doc_id", "page", F.inline(F.array(
-            *[_word(a, b, F.lit(100), F.lit(t)) for a, b, t in labels])))
-    return body.unionByName(header)
+        _word(280, 315, top - 0.3, F.col("q").cast("string"))],
+        [_word(a, b, F.lit(100), F.lit(t)) for a, b, t in labels]).where(F.col("text") != "")
 
 
 @query("word_lines", _ROWS + """
