@@ -381,8 +381,7 @@ SELECT c.*, reason_first, CASE WHEN abs(change) > 1 THEN s END AS reason_second
 FROM c LEFT JOIN r USING (program_id)"""))
 def reasons(spark, d):
     before, after = _drafts(spark, d, "program_id", "department_code", "program_name")
-    texts = before.unionByName(after).groupBy("program_id").agg(
-        F.min("program_name").alias("reason_first"), F.max("program_name").alias("reason_second"))
+    texts = C.first_and_last(before.unionByName(after), ["program_id"], "program_name")
     comparison = C.compare(before, after, ["program_id", "department_code"])
     return C.attach_reasons(comparison, texts)
 

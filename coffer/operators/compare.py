@@ -260,6 +260,18 @@ def pass_counts(checks):
         "failed"), F.count(F.lit(1)).alias("total"))
 
 
+def first_and_last(df, keys, text, first="reason_first", last="reason_second"):
+    """Smallest and largest text per key.
+
+    Spark sorts rows to find the least of texts, so distinct texts are hashed first and a task sorts
+    no more rows than there are texts. Their count keeps that step: without it Spark drops it.
+    """
+    texts = df.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("__n"))
+    return texts.groupBy(*keys).agg(
+        F.min(text).alias(first), F.max(text).alias(last), F.sum("__n").alias("__n")).where(
+        "__n > 0").drop("__n")
+
+
 def attach_reasons(comparison, reasons, key="program_id", first="before", second="after"):
     """Reasons per program; the later one only if the drafts differ by over 1."""
     joined = comparison.join(

@@ -129,3 +129,12 @@ def test_shares_sum_to_hundred(spark):
     assert shares == pytest.approx(100)
     with pytest.raises(ValueError):
         R.aggregate_by(rows, ["missing"])
+
+
+def test_first_and_last_texts_are_hashed_before_they_are_sorted(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", None), ("b", None), (None, "z"), (None, "y"), ("c", "")]
+    out = C.first_and_last(spark.createDataFrame(rows * 3, "k string, t string"), ["k"], "t", "lo", "hi")
+    assert {tuple(r) for r in out.collect()} == {
+        ("a", "x", "x"), ("b", None, None), (None, "y", "z"), ("c", "", "")}
+    # one grouping by key and text under the one that picks the least and the largest
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
