@@ -136,3 +136,17 @@ def test_income_tax_rounds_half_dollars_up(spark):
             due += max(min(left, upper or left) - low, 0) * Decimal(str(rate))
             low = upper
         assert got[i] == math.floor(due + Decimal("0.5")), i
+
+
+def test_names_with_odd_tokens(spark):
+    assert values(spark, ["a of  iv\u2028 (ABC) (Abc) (X vs In-the xix mixed", "", None], X.pretty_name) == [
+        "A of  IV\u2028 (ABC) (abc) (x vs in-the XIX Mixed", "", ""]
+    assert values(spark, ["A ,AND B&C,\t and D,& AND, FAC.,ANDY dept, oahu ", ",", None], X.expand_project_name) == [
+        "A AND B AND C AND D AND AND FACILITY.ANDY DEPARTMENT", "", ""]
+
+
+def test_words_of_names_ask_a_set_before_the_map(spark):
+    """A map is searched entry by entry, so plain words must not reach it; words are cut once."""
+    df = spark.createDataFrame([("x",)], "n string").select(X.expand_project_name(F.col("n")).alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and " IN" in plan
