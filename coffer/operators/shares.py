@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..session import write_out
 from .ordered import dense_rank_desc, null_safe_join
 
 
@@ -35,11 +36,21 @@ def add_share_of_group(df, keys, value="amount", out="pct_of_group", digits=2):
 
 
 def add_metrics(df, value="amount", group="department_code", positions="positions"):
-    """Share of total and of department, both ranks, cost per position."""
-    out = add_share_of_total(df, value, "pct_of_total")
-    out = add_share_of_group(out, [group], value, "pct_of_dept")
-    out = dense_rank_desc(out, [group], value, "rank_in_dept")
-    out = dense_rank_desc(out, [], value, "rank_overall")
+    """Share of total and of department, both ranks, cost per position.
+
+    Sums and ranks are found on the distinct amounts of each group, which are written once;
+    the rows are read twice and joined once, whatever figures they get.
+    """
+    amounts = write_out(df.groupBy(group, value).agg(F.sum(value).alias("__sum")))
+    whole = total_of(amounts, "__sum")
+    sums = amounts.groupBy(group).agg(F.sum("__sum").alias("__group_sum"))
+    found = dense_rank_desc(amounts.select(group, value), [group], value, "rank_in_dept")
+    overall = dense_rank_desc(amounts.select(value).distinct(), [], value, "rank_overall")
+    found = null_safe_join(null_safe_join(found, sums, [group]), overall, [value])
+    out = null_safe_join(df, found, [group, value]).select(
+        *df.columns,
+        F.when(F.col(value).isNotNull(), percent(F.col(value), whole, when_zero=0)).alias("pct_of_total"),
+        percent(F.col(value), F.col("__group_sum")).alias("pct_of_dept"), "rank_in_dept", "rank_overall")
     if positions in df.columns:
         out = out.withColumn(
             "cost_per_position",

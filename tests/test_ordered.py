@@ -111,6 +111,20 @@ def test_metrics_with_nulls_and_ties(spark):
     assert got[("B", None)][2:] == (None, None, None)
 
 
+def test_metrics_join_the_rows_once(spark):
+    df = spark.range(1000).select(
+        (F.col("id") % 7).cast("string").alias("department_code"),
+        F.when(F.col("id") % 10 != 0, F.col("id") % 90).cast("decimal(18,2)").alias("amount"))
+    out = add_metrics(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 1000") == 1
+    rows = [(r.department_code, r.amount, r.rank_in_dept, r.rank_overall) for r in out.collect()]
+    assert len(rows) == 1000 and out.columns[2:] == ["pct_of_total", "pct_of_dept", "rank_in_dept", "rank_overall"]
+    for d, a, inside, overall in rows:
+        assert (overall, inside) == ((None, None) if a is None else (
+            len({x for _, x, _, _ in rows if x is not None and x >= a}),
+            len({x for e, x, _, _ in rows if e == d and x is not None and x >= a})))
+
+
 def test_hot_key_stays_exact(spark):
     df = spark.range(20_000).select(
         F.lit("hot").alias("k"), F.col("id").alias("o"),
