@@ -10,7 +10,7 @@ from ..operators import grants as G
 from ..operators import lines as L
 from ..operators import projects as P
 from ..plans import bill as B
-from ..plans.testdata import allocations, table
+from ..plans.testdata import allocations, first_lines, table
 from ..session import cut_lineage
 from .base import query, with_alloc
 
@@ -319,11 +319,12 @@ SELECT program_id, program_name, category, is_capital FROM (
 QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY line_number, program_name,
   department_code, category, is_capital) = 1"""))
 def dims(spark, d):
-    rows = allocations(spark, d, "department_code", "department_name", "program_id",
-                       "program_name", "category", "section", "line_number")
-    departments = L.distinct_departments(rows).select(
+    departments = L.distinct_departments(allocations(
+        spark, d, "department_code", "department_name", "line_number")).select(
         F.col("department_code").alias("code"), F.col("department_name").alias("name"))
-    programs = L.distinct_programs(rows).select(
+    firsts = allocations(spark, d, "department_code", "program_id", "program_name", "category", "section",
+                         "line_number", lines=first_lines(spark, d))
+    programs = L.distinct_programs(firsts).select(
         F.col("program_id").alias("code"), F.col("program_name").alias("name"), "category",
         "is_capital")
     return departments.unionByName(programs, allowMissingColumns=True).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fiscal_year_of
 from ..operators.views import section_of_flag
 from ..schema import FUND_NAMES, MONEY, POSITIONS, lookup
+from ..session import write_out
 
 PRIORITY_FUND = {"1": "A", "2": "B", "3": "N", "4": "C", "5": "W"}
 
@@ -45,7 +46,19 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def allocations(spark, sf_dir, *columns, years=None):
+def first_lines(spark, sf_dir):
+    """Lowest line number of each program; lines become one per part before parts are joined.
+
+    The result, one row a program, is written, so that a join knows its size.
+    """
+    lines = allocations(spark, sf_dir, "part_key", "line_number").groupBy("part_key").agg(
+        F.min("line_number").alias("line_number"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", _EXPRESSIONS["program_id"]().alias("program_id"))
+    return write_out(lines.join(parts, F.col("part_key") == F.col("p_partkey"), "left").groupBy("program_id").agg(
+        F.min("line_number").alias("line_number")))
+
+
+def allocations(spark, sf_dir, *columns, years=None, lines=None):
     """Allocation rows with just the requested columns (all when none given).
 
     ``years`` keeps the fiscal years from the first to the last given. It is
@@ -57,6 +70,9 @@ def allocations(spark, sf_dir, *columns, years=None):
     if years:
         need.add("order_date")
     rows = table(spark, sf_dir, "lineitem")
+    if lines is not None:
+        number = lines.select(F.col("line_number").alias("__line"))
+        rows = rows.join(number, _EXPRESSIONS["line_number"]().eqNullSafe(F.col("__line")), "left_semi")
     if need & _ORDERS:
         orders = table(spark, sf_dir, "orders").select(
             "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")

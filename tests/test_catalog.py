@@ -49,3 +49,16 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 def test_plans_have_no_pairwise_joins(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_first_lines_are_found_before_parts_are_joined(spark, sf_dir):
+    from coffer.plans.testdata import allocations, first_lines
+
+    lines, rows = {}, allocations(spark, sf_dir, "program_id", "line_number").collect()
+    for r in rows:
+        lines[r.program_id] = min(r.line_number, lines.get(r.program_id, r.line_number))
+    firsts = first_lines(spark, sf_dir)
+    assert {r.program_id: r.line_number for r in firsts.collect()} == lines
+    # line numbers repeat: every row that has one of them stays
+    kept = allocations(spark, sf_dir, "program_id", "line_number", lines=firsts)
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in rows if r.line_number in set(lines.values()))
