@@ -105,6 +105,11 @@ def test_markdown(spark):
     assert values(spark, [text], X.normalize_markdown) == [want]
 
 
+def test_markdown_keeps_the_gap_of_a_block_without_text(spark):
+    texts = ["[[a]] \t\n\n\n[[b]]\nx", "[[a]]\n[[b]]\n\nx", "[[a]]"]
+    assert values(spark, texts, X.normalize_markdown) == ["[[a]]\n\n[[b]]\nx\n", "[[a]]\n[[b]]\nx\n", "[[a]]\n"]
+
+
 def test_tax(spark):
     df = spark.createDataFrame(
         [(4400.0, "single"), (50000.0, "single"), (50000.0, "other"), (0.0, "mfj")],
