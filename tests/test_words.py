@@ -285,3 +285,21 @@ def test_words_of_a_page_are_shuffled_once(spark):
     assert got == {k: sorted(v) for k, v in expected.items()}
     placed = C.line_tops(df).select("doc_id", "page", "line_top", "text").collect()
     assert len(placed) == 240 and {(r.doc_id, r.page, r.line_top) for r in placed} == set(expected)
+
+
+def test_request_lines_stay_where_their_page_is(spark):
+    frame = words(spark, [(1, 100, HEADER), (1, 170, [(95, 140, "G.O. BONDS"), (390, 417, "1,500")])])
+    programs = spark.createDataFrame([("d", 1, "AGS881")], "doc_id string, page int, program_id string")
+    plan = C.request_projects(frame, programs, FUNDS)._jdf.queryExecution().optimizedPlan().toString()
+    # words and labels are grouped by page; edges, programs and the carry find them there
+    assert [plan.count(x) for x in ("Aggregate [", "Join ", "Window [")] == [2, 2, 1]
+
+
+def test_numbers_go_to_the_nearest_edge_and_the_first_one_stays(spark):
+    lines = C.merge_fragments(C.word_lines(words(spark, [
+        (1, 100, [(0, 20, "5"), (30, 117, "x"), (118, 122, "7"), (125, 130, "8"), (200, 250, "9")]),
+        (2, 100, [(0, 20, "5")])])))
+    edges = spark.createDataFrame([("d", 1, [3.0, 103.0, 113.0])], "doc_id string, page int, edges array<double>")
+    got = C.column_values(lines, edges, ["a", "b", "c"]).orderBy("page").select("a", "b", "c").collect()
+    # edges stand at 20, 120 and 130; 250 is beyond the tolerance, page 2 has no edges
+    assert [tuple(r) for r in got] == [(5, 7, 8), (None, None, None)]
