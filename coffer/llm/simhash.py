@@ -9,6 +9,8 @@ from pyspark.sql.types import LongType
 from .common import components, materialize, small_batches, union_pairs
 
 SAMPLE_PER_SHARD = 16
+#: fingerprints that are dealt to shards together
+ROUTED = 20_000
 
 
 def fingerprint(raw, words=4):
@@ -132,6 +134,16 @@ def _links(values, guests, r):
     return a[keep], b[keep]
 
 
+def _routed(pdf, trees):
+    """Fingerprints of a batch beside every shard they meet: one frame a tree, however many its shards."""
+    q, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy()
+    for t, tree in enumerate(trees):
+        numbers, _, places, own = zip(*tree.reach(q, np.ones(len(q), bool)))
+        at = np.concatenate(places)
+        yield pd.DataFrame({"tree": t, "shard": np.repeat(numbers, [len(p) for p in places]),
+                            "fp": q[at].view(np.int64), "node": node[at], "home": np.concatenate(own)})
+
+
 def near_fingerprints(fps, bits=4, per_shard=4096, max_shards=16384):
     """Links between distinct fingerprints ``(fp, node)`` at ``bits`` or fewer differing bits.
 
@@ -155,11 +167,8 @@ def near_fingerprints(fps, bits=4, per_shard=4096, max_shards=16384):
 
     def route(batches):
         for pdf in batches:
-            q = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            for t, tree in enumerate(shared.value):
-                for number, _, at, own in tree.reach(q, np.ones(len(q), bool)):
-                    yield pd.DataFrame({"tree": t, "shard": number, "fp": q[at].view(np.int64),
-                                        "node": pdf["node"].to_numpy()[at], "home": own})
+            if len(pdf):
+                yield from _routed(pdf, shared.value)
 
     def search(pdf):
         pdf = pdf.sort_values("home", ascending=False, kind="stable")
@@ -171,7 +180,9 @@ def near_fingerprints(fps, bits=4, per_shard=4096, max_shards=16384):
         moved = low != np.arange(len(q))
         return pd.DataFrame({"u": node[low[moved]], "v": node[moved]})
 
-    parts = max(spark.sparkContext.defaultParallelism, n // 20000)
+    # a walk through the trees costs the same for few and many values: a partition is one batch
+    small_batches(spark, ROUTED)
+    parts = max(spark.sparkContext.defaultParallelism, n // ROUTED)
     routed = fps.select("fp", "node").repartition(parts).mapInPandas(
         route, "tree int, shard int, fp long, node long, home boolean")
     return routed.groupBy("tree", "shard").applyInPandas(search, "u long, v long")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,18 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
+def test_fingerprints_are_dealt_a_frame_a_tree(spark):
+    values = np.random.default_rng(3).integers(0, 1 << 63, 400, dtype=np.uint64)
+    trees = [simhash.VantageTree(values, 20, m, r) for m, r in simhash.bands(4)]
+    pdf = pd.DataFrame({"fp": values.view(np.int64), "node": np.arange(400)})
+    frames = list(simhash._routed(pdf, trees))
+    assert [set(f["tree"]) for f in frames] == [{0}, {1}, {2}, {3}]
+    for f, tree in zip(frames, trees):
+        assert sorted(f["node"][f["home"]]) == list(range(400)) and (f["fp"] == values.view(np.int64)[f["node"]]).all()
+        assert f.groupby("shard").size().to_dict() == {
+            n: len(at) for n, _, at, _ in tree.reach(values, np.ones(400, bool)) if len(at)}
+
+
 def test_simhash(docs, rows):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fingerprint"], r["component_id"])
                  for r in simhash.simhash_classes(docs).collect())
